@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_id, quality_classifier, quality_rules, sentencepiece_codec, token_counts
+from . import fingerprints, language_id, mixing, quality_classifier, quality_rules, sentencepiece_codec, token_counts
 from .common import documents, fold, labels
 
 
@@ -35,6 +36,36 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op6_language_id, op7_token_counts, op8_quality_rules)}
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(documents(spark, sf_dir), keep=["doc_id"])
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op6_language_id, op7_token_counts, op8_quality_rules, op9_source_mixing, op10_document_fingerprints)}
+
+def _print_sql(text: str) -> str:
+    """The fingerprint of a text, as SQL: digests of leaves within paragraphs within sections."""
+    tree = f"list_transform(regexp_extract_all({text}, '(?s).+?(?:\\n{{2,}}|\\z)'), lambda s: list_transform(regexp_extract_all(s, '[^\\n]*\\n|[^\\n]+'), lambda p: list_transform(regexp_extract_all(p, '(?s).{{1,64}}'), lambda x: left(sha256(x), 12))))"
+    root = f"sha256('R' || coalesce(array_to_string(list_transform({tree}, lambda s: sha256('S' || array_to_string(list_transform(s, lambda p: sha256('P' || array_to_string(p, ''))), ''))), ''), ''))"
+    return f"{root} || ':' || coalesce(array_to_string(list_transform({tree}, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(p, '.')), '/')), '|'), '')"
+
+
+def _alike_sql(a: str, b: str) -> str:
+    leaves = lambda x: f"list_distinct(regexp_extract_all(split_part({x}, ':', 2), '[^./|]+'))"
+    return f"CASE WHEN len({leaves(a)}) + len({leaves(b)}) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({leaves(a)}, {leaves(b)})) / (len({leaves(a)}) + len({leaves(b)})) END"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_document_fingerprints": f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id NULLS FIRST, text), first(text) OVER (ORDER BY doc_id NULLS FIRST, text)) AS next FROM t),
+e AS (SELECT *, left(text, length(text) - length(text) // 2) || left(next, length(text) // 2) AS edited FROM n),
+f AS (SELECT *, {_print_sql("text")} AS fingerprint, {_print_sql("edited")} AS edited_fingerprint, {_print_sql("next")} AS next_fingerprint FROM e)
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
+  {_alike_sql("fingerprint", "edited_fingerprint")} AS near_edited, {_alike_sql("fingerprint", "next_fingerprint")} AS near_next
+FROM f""",
+}
