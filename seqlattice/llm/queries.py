@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, mixing, quality_classifier, quality_rules, sentencepiece_codec, token_counts
+from . import fingerprints, language_id, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, token_counts
 from .common import documents, fold, labels
 
 
@@ -22,6 +22,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     net = language_id.fit(language_id.sample(docs.where(fold("doc_id", 4) != 2)))
@@ -45,7 +50,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op6_language_id, op7_token_counts, op8_quality_rules, op9_source_mixing, op10_document_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op5_line_dedup, op6_language_id, op7_token_counts, op8_quality_rules, op9_source_mixing, op10_document_fingerprints)}
 
 def _print_sql(text: str) -> str:
     """The fingerprint of a text, as SQL: digests of leaves within paragraphs within sections."""
@@ -60,6 +65,18 @@ def _alike_sql(a: str, b: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": f"""
+WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM s),
+d AS (SELECT line, length(line) AS n, min({{'d': coalesce(doc_id, -9223372036854775808), 'p': pos}}) AS at FROM x WHERE length(line) >= {line_dedup.LEAST} GROUP BY line),
+near AS (SELECT DISTINCT a.line FROM d a JOIN d b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.at < a.at
+  AND (left(a.line, least(a.n, b.n) // 2) = left(b.line, least(a.n, b.n) // 2) OR right(a.line, least(a.n, b.n) - least(a.n, b.n) // 2) = right(b.line, least(a.n, b.n) - least(a.n, b.n) // 2))
+  AND levenshtein(a.line, b.line) <= 1),
+m AS (SELECT x.doc_id, x.pos, x.line, d.line IS NOT NULL AND (near.line IS NOT NULL OR d.at < {{'d': coalesce(x.doc_id, -9223372036854775808), 'p': x.pos}}) AS gone
+  FROM x LEFT JOIN d ON x.line = d.line LEFT JOIN near ON x.line = near.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
     "op10_document_fingerprints": f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id NULLS FIRST, text), first(text) OVER (ORDER BY doc_id NULLS FIRST, text)) AS next FROM t),
