@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, token_counts
+from . import fingerprints, language_id, line_dedup, minhash, mixing, quality_classifier, quality_rules, sentencepiece_codec, token_counts
 from .common import documents, fold, labels
 
 
@@ -22,6 +22,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -50,7 +54,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op5_line_dedup, op6_language_id, op7_token_counts, op8_quality_rules, op9_source_mixing, op10_document_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op4_minhash_near_dedup, op5_line_dedup, op6_language_id, op7_token_counts, op8_quality_rules, op9_source_mixing, op10_document_fingerprints)}
 
 def _print_sql(text: str) -> str:
     """The fingerprint of a text, as SQL: digests of leaves within paragraphs within sections."""
