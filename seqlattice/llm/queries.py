@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, line_dedup, minhash, mixing, quality_classifier, quality_rules, sentencepiece_codec, token_counts
+from . import fingerprints, language_id, line_dedup, minhash, mixing, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, token_counts
 from .common import documents, fold, labels
 
 
@@ -22,6 +22,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -54,7 +58,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op4_minhash_near_dedup, op5_line_dedup, op6_language_id, op7_token_counts, op8_quality_rules, op9_source_mixing, op10_document_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_suffix_dedup, op4_minhash_near_dedup, op5_line_dedup, op6_language_id, op7_token_counts, op8_quality_rules, op9_source_mixing, op10_document_fingerprints)}
 
 def _print_sql(text: str) -> str:
     """The fingerprint of a text, as SQL: digests of leaves within paragraphs within sections."""
@@ -69,6 +73,20 @@ def _alike_sql(a: str, b: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_dedup": f"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(doc_id, -9223372036854775808) AS id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT k, id, unnest(range(0, len(x) // 2 - {suffix_dedup.LENGTH - 1})) AS p, x FROM t),
+s AS (SELECT k, id, p, substr(x, 2 * p + 1, {2 * suffix_dedup.LENGTH}) AS s FROM w),
+m AS (SELECT s, min(id) AS least FROM s GROUP BY s HAVING min(id) < max(id)),
+g AS (SELECT k, p FROM s JOIN m USING (s) WHERE id > least),
+e AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY p) AS span FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY k ORDER BY p) + {suffix_dedup.LENGTH} THEN 0 ELSE 1 END AS fresh FROM g)),
+r AS (SELECT k, min(p) AS lo, max(p) + {suffix_dedup.LENGTH} AS hi FROM e GROUP BY k, span),
+a AS (SELECT k, lo, hi, coalesce(lag(hi) OVER (PARTITION BY k ORDER BY lo), 0) AS since FROM r),
+q AS (SELECT k, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS rest FROM r GROUP BY k),
+b AS (SELECT a.k, string_agg(substr(t.x, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS x FROM a JOIN t USING (k) GROUP BY a.k)
+SELECT doc_id, len(t.x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN q.k IS NULL THEN t.x ELSE b.x || substr(t.x, 2 * rest + 1) END)) AS kept_sha256
+FROM t LEFT JOIN q USING (k) LEFT JOIN b USING (k)""",
     "op5_line_dedup": f"""
 WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 x AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM s),
