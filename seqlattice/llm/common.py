@@ -79,3 +79,14 @@ def slices(sizes: list[int], limit: int):
         total += size
     if i < len(sizes):
         yield i, len(sizes)
+
+
+def quoted(names: list[str] | tuple[str, ...]) -> list[str]:
+    """Names as column references, also where they hold dots."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def beside(names: list[str], *results: str) -> list[str]:
+    """The names that don't clash with those of results (case aside): a result's column stands, the other goes."""
+    taken = {r.lower() for r in results}
+    return [n for n in names if n.lower() not in taken]

@@ -26,7 +26,7 @@ with ``levenshtein`` before the later line goes.
 Defined results: a null text has no lines and stays null; an empty text has one
 empty line; a null id comes first; rows that repeat an id share their positions,
 so equal lines at one position don't remove each other; columns of any name
-are kept.
+are kept, but for those that n_lines and n_removed replace.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut
+from .common import beside, bounded_broadcast, cut, quoted
 
 LEAST = 20
 PARTS = 8
@@ -116,11 +116,11 @@ def dedup(docs: DataFrame, least: int = LEAST, parts: int = PARTS) -> DataFrame:
     gone = removed_lines(docs, least, parts).groupBy("doc_id").agg(F.collect_list("pos").alias("__gone")).select(F.col("doc_id").alias("__id"), "__gone")
     gone = cut(gone)
     size = gone.agg(F.coalesce(F.sum(F.size("__gone")), F.lit(0)).alias("n")).first()["n"]
-    own = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__of"), F.split("text", "\n", -1).alias("__lines"))
+    own = docs.select(F.struct(*quoted(docs.columns)).alias("__row"), F.col("doc_id").alias("__of"), F.split("text", "\n", -1).alias("__lines"))
     met = own.join(bounded_broadcast(gone, BROADCAST_ROWS) if size <= 4 * BROADCAST_ROWS else gone, F.col("__of").eqNullSafe(F.col("__id")), "left")
     n = F.coalesce(F.size("__lines"), F.lit(0))
     stay = F.array_except(F.sequence(F.lit(0), F.greatest(F.lit(1), F.size("__lines")) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col("__row.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
-    rest = [F.col(f"__row.`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
+    rest = [F.col(f"__row.{quoted([c])[0]}").alias(c) if c.lower() != "text" else text.alias(c) for c in beside(docs.columns, "n_lines", "n_removed")]
     lines = F.when(F.col("__lines").isNull(), 0).otherwise(n).cast("long")
     return met.select(*rest, lines.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut, ship, slices, small_batches
+from .common import beside, bounded_broadcast, cut, quoted, ship, slices, small_batches
 from .graph import components
 from .shingles import mixed, powers, shingle_hashes
 
@@ -252,8 +252,8 @@ class Finder:
         return found
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, columns: tuple[str, ...] = ("doc_id",), small: int = SMALL) -> DataFrame:
-    """One row for each row of ``docs``: the given columns, class_id (least doc_id of the class) and class_size (its rows)."""
+def classed(docs: DataFrame, names: list[str], threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
+    """Each row of ``docs`` as a struct ``row`` of the named columns, with its id, class_id and class_size."""
     found = Finder(docs, threshold, small).links()
     labels = components(found, "a", "b")
     ids = docs.where("text is not null").groupBy(F.md5("text").alias("node")).agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
@@ -261,14 +261,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, columns: tupl
     per = marked.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
     # Only texts that are alone need no entry: equal texts and classes do.
     classes = cut(marked.join(per, "label").where("class_size > 1").select(F.col("node").alias("__node"), "class_id", "class_size"))
-    own = docs.select(F.struct(*columns).alias("__row"), F.col("doc_id").alias("__id"), F.md5("text").alias("__of"))
+    own = docs.select(F.struct(*quoted(names)).alias("row"), F.col("doc_id").alias("id"), F.md5("text").alias("__of"))
     met = own.join(bounded_broadcast(classes, 500_000), F.col("__of") == F.col("__node"), "left")
-    return met.select("__row.*", F.coalesce("class_id", "__id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return met.select("row", "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, columns: tuple[str, ...] = ("doc_id",), small: int = SMALL) -> DataFrame:
+    """One row for each row of ``docs``: the given columns, class_id (least doc_id of the class) and class_size (its rows)."""
+    return classed(docs, beside(list(columns), "class_id", "class_size"), threshold, small).select("row.*", "class_id", "class_size")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, one of each class: that with the least id (any one of rows that repeat it)."""
-    rows = near_duplicates(docs, threshold, tuple(docs.columns))
-    rows = rows.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id")))
-    alone = rows.where((F.col("class_size") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
-    return alone.unionByName(rows.where((F.col("class_size") > 1) & F.col("doc_id").isNotNull()).dropDuplicates(["class_id"]).select(*docs.columns))
+    """The rows of ``docs``, one of each class: that with the least id (any one of rows that repeat it); rows without an id stay."""
+    rows = classed(docs, docs.columns, threshold).where("id is null or id = class_id")
+    single = F.col("id").isNull() | (F.col("class_size") == 1)
+    return rows.where(single).select("row.*").unionByName(rows.where(~single).dropDuplicates(["class_id"]).select("row.*"))

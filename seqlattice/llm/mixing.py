@@ -21,7 +21,9 @@ meet a table of blocks, whose size is bounded and checked.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; an empty table gives an empty mix; rows that repeat an id are
-drawn together, each with its own size.
+drawn together, each with its own size; a column of ``docs`` with the name of a
+result gives way to it in :func:`mix`, and :func:`mixed_rows` returns the columns
+of ``docs`` as they are.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, bounded_broadcast, cut
+from .common import NOT_SPACE, beside, bounded_broadcast, cut, quoted
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -163,22 +165,27 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sh
     return cut(out)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
-    """One row for each row of ``docs``: its columns (or ``keep``), size, source_size, target and ``shards``, the shard of each time it is taken."""
+def placed(docs: DataFrame, names: list[str], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+    """Each row of ``docs`` as a struct ``row`` of the named columns, with size, source_size, target and shards."""
     if missing := {"doc_id", "source", "text"} - set(docs.columns):
         raise ValueError(f"no column {', '.join(sorted(missing))}")
-    names = docs.columns if keep is None else keep
     table = plan(docs, weights, cap, shards, blocks, seed)
     table = table.select(*[F.col(c).alias(f"__{c}") for c in table.columns])
-    own = docs.select(F.struct(*names).alias("__row"), F.col("source").alias("__from"), words().alias("__words"), F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(CELLS)).alias("__cell"), F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("__h"))
+    own = docs.select(F.struct(*quoted(names)).alias("row"), F.col("source").alias("__from"), words().alias("size"), F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(CELLS)).alias("__cell"), F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("__h"))
     met = own.join(bounded_broadcast(table), F.col("__from").eqNullSafe(F.col("__source")) & (F.expr(f"__cell * __n div {CELLS}") == F.col("__block")))
     cut_off = (F.col("__part") > 0) & (F.col("__part") < 1) & ~F.coalesce(F.col("__h") <= F.col("__last"), F.lit(False))
     taken = F.when(cut_off, F.slice("__shards", F.lit(1), F.col("__rounds").cast("int"))).otherwise(F.col("__shards"))
-    return met.select("__row.*", F.col("__words").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("shards"))
+    return met.select("row", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("shards"))
+
+
+def mix(docs: DataFrame, keep: list[str] | None = None, **options) -> DataFrame:
+    """One row for each row of ``docs``: its columns (or ``keep``), size, source_size, target and ``shards``, the shard of each time it is taken."""
+    names = beside(docs.columns if keep is None else keep, "size", "source_size", "target", "shards")
+    return placed(docs, names, **options).select("row.*", "size", "source_size", "target", "shards")
 
 
 def mixed_rows(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, **options) -> DataFrame:
     """The mix itself: the columns of ``docs``, once for each time a row is taken, dealt by shard and shuffled within."""
-    rows = mix(docs, seed=seed, shards=shards, **options).select(F.struct(*docs.columns).alias("__row"), F.posexplode("shards").alias("__time", "__shard"))
-    rows = rows.withColumn("__order", F.xxhash64(F.lit(seed + 3), "__shard", "__row.doc_id", "__time"))
-    return rows.repartition(shards, "__shard").sortWithinPartitions("__shard", "__order").select("__row.*")
+    rows = placed(docs, docs.columns, seed=seed, shards=shards, **options).select("row", F.posexplode("shards").alias("time", "shard"))
+    rows = rows.withColumn("order", F.xxhash64(F.lit(seed + 3), "shard", "row.doc_id", "time"))
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "order").select("row.*")
