@@ -119,7 +119,7 @@ class PatternQuery:
     def carried(self, variable: str) -> list[str]:
         """Columns of a variable that joins and measures need; those of its own filter only are left out."""
         wanted = [c for p in self.dependent for v, c in sorted(p.columns()) if v == variable]
-        wanted += [m.attribute for m in self.measures if m.variable == variable]
+        wanted += [m.attribute for m in self.measures if m.variable == variable and m.function != "COUNT"]
         seen: dict[str, str] = {}
         for c in [self.id_column, self.ts_column, *self.partition_by, *wanted]:
             seen.setdefault(c.lower(), c)
