@@ -134,13 +134,14 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sh
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sized = cut(docs.select("source", F.pmod(key, F.lit(CELLS)).alias("cell"), F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("h"), words().alias("size")))
     cells = cut(sized.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")))  # CELLS rows a source at most
-    sources = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("size")), weights, cap)
+    # From here on tables have a row for each source or block: one task holds them, and nothing is exchanged.
+    sources = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("size")).coalesce(1), weights, cap)
     count = F.greatest(F.lit(1), F.ceil(F.col("size") * F.lit(blocks) / F.greatest(F.sum("size").over(Window.partitionBy()), F.lit(1))))
     sources = sources.withColumn("n", F.least(count, F.lit(CELLS)).cast("long"))
     sources = cut(sources.withColumn("rounds", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("long")).withColumn("rest", F.col("target") - F.col("rounds") * F.col("size")))
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
     of = cells.alias("a").join(bounded_broadcast(sources).alias("b"), same).select("b.*", "a.cell", "a.cell_size", F.expr(f"a.cell * b.n div {CELLS}").alias("block"))
-    parts = of.groupBy("source", "i", "size", "target", "n", "rounds", "rest", "block").agg(F.sum("cell_size").alias("words"))
+    parts = of.groupBy("source", "i", "size", "target", "n", "rounds", "rest", "block").agg(F.sum("cell_size").alias("words")).coalesce(1)
     order = Window.partitionBy("i").orderBy(F.xxhash64(F.lit(seed + 2), "i", "block"), "block")
     parts = parts.withColumn("rank", F.row_number().over(order) - 1).withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     parts = parts.withColumn("part", F.when(F.col("upto") <= F.col("rest"), 1.0).when(F.col("upto") - F.col("words") < F.col("rest"), (F.col("rest") - F.col("upto") + F.col("words")) / F.col("words")).otherwise(0.0))
