@@ -114,7 +114,8 @@ class Incremental:
     def late_delta(self, view: View, old: DataFrame, fresh: DataFrame) -> DataFrame:
         """Partial matches with any new row, each once: old rows before the first new variable, any rows after it."""
         q, names = self.query, self.graph.ordered(view)
-        both = old.unionByName(fresh.select(*old.columns)) if old is not None else fresh
+        old = old.select(*fresh.columns)
+        both = old.unionByName(fresh)
         out = None
         for k, _ in enumerate(names):
             frames = {frozenset([v]): compose.source(old if i < k else fresh if i == k else both, q, v) for i, v in enumerate(names)}
