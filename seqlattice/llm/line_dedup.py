@@ -39,17 +39,25 @@ from .common import beside, bounded_broadcast, cut, quoted
 LEAST = 20
 PARTS = 8
 BROADCAST_ROWS = 500_000
+TELL = 1 << 24
 
 
-def place(doc_id: Column, pos: Column) -> Column:
-    """The order of lines as one number."""
-    return (F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(18,0)")).cast("decimal(38,0)") + pos
+def place(doc_id: Column, pos: Column, h: Column) -> Column:
+    """A number for a line: its order (doc_id, position), and behind that some bits of its hash to tell lines of rows that repeat an id apart."""
+    at = (F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(18,0)")).cast("decimal(30,0)") + pos
+    return (at.cast("decimal(30,0)") * F.lit(TELL).cast("decimal(8,0)")).cast("decimal(38,0)") + F.pmod(h, F.lit(TELL))
+
+
+def earlier(a: str, b: str) -> Column:
+    """Whether the place of number ``a`` comes before that of ``b``."""
+    order = lambda c: F.col(c) - F.pmod(F.col(c), F.lit(TELL).cast("decimal(8,0)"))
+    return order(a) < order(b)
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, pos, line, n, h, g, at) of each line that counts; h and g are two hashes."""
     split = docs.select(F.col("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("n", F.char_length("line")).where(F.col("n") >= least)
-    return split.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), F.col("line"))}).withColumn("at", place(F.col("doc_id"), F.col("pos")))
+    return split.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), F.col("line"))}).withColumn("at", place(F.col("doc_id"), F.col("pos"), F.col("h")))
 
 
 def part_keys(line: Column, n: Column, base: Column, parts: int, role: int) -> Column:
@@ -97,12 +105,12 @@ def removed_lines(docs: DataFrame, least: int = LEAST, parts: int = PARTS) -> Da
     variants = cut(variants.select("at", "n", F.explode(keys).alias("k")).select("at", F.col("k.v").alias("v"), F.col("k.i").alias("i"), "n").distinct())
     changed = variants.where("i is not null")
     first = changed.groupBy("v", "i").agg(F.min("at").alias("to"), F.max("at").alias("__last")).where(F.col("to") < F.col("__last"))
-    pairs = changed.join(first, ["v", "i"]).where(F.col("to") < F.col("at")).select("at", "to")
+    pairs = changed.join(first, ["v", "i"]).where(earlier("to", "at")).select("at", "to")
     longer = variants.where("i is null").select("at", "v")
     whole = texts.select(F.col("at").alias("short"), F.col("h").alias("v"))
     met = longer.groupBy("v").agg(F.min("at").alias("__first")).join(whole, "v")
-    pairs = pairs.unionByName(longer.join(met, "v").where(F.col("short") < F.col("at")).select("at", F.col("short").alias("to")))
-    pairs = pairs.unionByName(met.where(F.col("__first") < F.col("short")).select(F.col("short").alias("at"), F.col("__first").alias("to")))
+    pairs = pairs.unionByName(longer.join(met, "v").where(earlier("short", "at")).select("at", F.col("short").alias("to")))
+    pairs = pairs.unionByName(met.where(earlier("__first", "short")).select(F.col("short").alias("at"), F.col("__first").alias("to")))
     a, b = texts.select("at", "h", "g", "line"), texts.select(F.col("at").alias("to"), F.col("line").alias("other"))
     near = pairs.distinct().join(a, "at").join(b, "to").where(F.levenshtein("line", "other", 1).between(0, 1)).select("h", "g").distinct()
 
