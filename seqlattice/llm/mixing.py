@@ -90,7 +90,7 @@ def split(quotas: Column, drawn: Column, *key: Column) -> Column:
         good = F.element_at(quotas, i)
         return let(hypergeometric(a["total"], good, a["drawn"], uniform(*key, i)), lambda x: F.struct((a["total"] - good).alias("total"), (a["drawn"] - x).alias("drawn"), F.concat(a["out"], F.array(x)).alias("out")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(quotas)), start, one, lambda a: a["out"])
+    return F.aggregate(F.transform(quotas, lambda _, k: k + 1), start, one, lambda a: a["out"])
 
 
 def tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
