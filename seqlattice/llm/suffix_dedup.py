@@ -10,9 +10,10 @@ The method is a distributed merge sort of suffixes that knows common prefixes:
    ``GRAM``-byte string with the least hash (the leftmost of equals).  Equal
    windows have equal anchors, and neighbouring windows mostly share theirs, so
    only the suffixes at anchors are sorted, each with the windows it stands for.
-2. Duplicate detection.  A suffix matters only if its anchor string occurs in two
-   documents.  Hashes of anchors are exchanged once (five bytes each) and the
-   repeated ones marked in a bitmap of fixed size; a wrong hit costs time only.
+2. Duplicate detection.  A window matters only if what it holds around its anchor
+   (35 bytes, to the right or to the left) occurs in two documents.  Hashes of
+   these are exchanged once (five bytes each, before compression) and the repeated
+   ones marked in a bitmap of fixed size; a wrong hit costs time only.
 3. Runs.  A task sorts the suffixes it has left, in runs of at most ``RUN``.
    Equal suffixes with equal contexts in one run are sent once, with the least
    document; the others repeat that one, so their marks are known on the spot.
@@ -54,9 +55,10 @@ ship(__name__)
 
 LENGTH, GRAM = 50, 20
 BITMAP_BITS = 27
-RUN = 200_000
+RUN = 300_000
+HELD = 700_000
 SAMPLE = 20_000
-SLICE_BYTES = 900_000
+SLICE_BYTES = 450_000
 PLACE_BITS = 20  # of a place within a slice; longer texts are cut into overlapping slices
 FIRST = -(1 << 63)
 
@@ -79,35 +81,45 @@ def rolling(data: np.ndarray, n: int) -> np.ndarray:
         power, size = power[:m] * factor[size] + power[size : size + m], size * 2
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts joined end to end: the bytes, and of each run of windows with one anchor its text, first and last window and anchor, as rows of places; and the anchor's 40-bit hash."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    none = np.zeros((4, 0), np.int64), np.zeros(0, np.uint64)
-    n = len(data) - length + 1
-    if n <= 0:
-        return data, *none
-    h = mixed(rolling(data, gram))
-    low = np.uint64((1 << PLACE_BITS) - 1)
-    m = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    width, have = length - gram + 1, 1
-    while have * 2 <= width:
-        m = np.minimum(m[:-have], m[have:])
-        have *= 2
-    if have < width:
-        m = np.minimum(m[: len(m) - (width - have)], m[width - have :])
-    m = m[:n]
-    text = np.repeat(np.arange(len(texts)), np.maximum(sizes - length + 1, 0))
-    starts = np.cumsum(sizes) - sizes
-    counts = np.maximum(sizes - length + 1, 0)
-    window = np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
-    if not len(window):
-        return data, *none
-    best = m[window]
-    new = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (text[1:] != text[:-1])]))
-    last = np.append(new[1:], len(window)) - 1
-    at = (best[new] & low).astype(np.int64)
-    return data, np.stack([text[new], window[new], window[last], at]), h[at] >> np.uint64(24)
+class Anchors:
+    """Texts joined end to end, and their runs of windows with one anchor, as arrays.
+
+    text, first, last, at: the run's text, first and last window and anchor, as
+    places in ``data``.  A window that begins ``o`` bytes before its anchor holds
+    the ``length - half`` bytes from the anchor on if ``o <= half``, and the
+    bytes from ``half`` before the anchor to its end if ``o >= half``: ``right``
+    and ``left`` are 40-bit hashes of these, where ``has_right`` and
+    ``has_left`` say that the run has such windows.
+    """
+
+    def __init__(self, texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
+        self.data = data = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        counts = np.maximum(sizes - length + 1, 0)
+        text = np.repeat(np.arange(len(texts)), counts)
+        self.half = half = (length - gram) // 2
+        window = np.arange(counts.sum()) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts)
+        if not len(window):
+            self.text = self.first = self.last = self.at = np.zeros(0, np.int64)
+            self.right = self.left = np.zeros(0, np.uint64)
+            self.has_right = self.has_left = np.zeros(0, bool)
+            return
+        low = np.uint64((1 << PLACE_BITS) - 1)
+        h = mixed(rolling(data, gram))
+        m = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+        width, have = length - gram + 1, 1
+        while have * 2 <= width:
+            m = np.minimum(m[:-have], m[have:])
+            have *= 2
+        if have < width:
+            m = np.minimum(m[: len(m) - (width - have)], m[width - have :])
+        best = m[window]
+        new = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (text[1:] != text[:-1])]))
+        self.text, self.first, self.last, self.at = text[new], window[new], window[np.append(new[1:], len(window)) - 1], (best[new] & low).astype(np.int64)
+        after, before = rolling(data, length - half), rolling(data, half + gram)
+        self.right = mixed(after[np.minimum(self.at, len(after) - 1)]) >> np.uint64(24)
+        self.left = mixed(before[np.clip(self.at - half, 0, len(before) - 1)] ^ np.uint64(0x5DEECE66D)) >> np.uint64(24)
+        self.has_right, self.has_left = self.at - self.last <= half, self.at - self.first >= half
 
 
 def cut_long(texts: list[bytes], length: int = LENGTH, most: int = SLICE_BYTES) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
@@ -128,15 +140,29 @@ def cut_long(texts: list[bytes], length: int = LENGTH, most: int = SLICE_BYTES)
 
 
 def five(h: np.ndarray) -> bytes:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """Sorted 40-bit hashes as five planes of bytes, of which the high ones compress well."""
+    return packed(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes())
 
 
 def unfive(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    planes = np.frombuffer(unpacked(data), np.uint8).reshape(5, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :5] = planes.T
     return out.view("<u8").ravel()
 
 
+def packed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def unpacked(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def common_prefixes(strings: list[bytes]) -> np.ndarray:
     """How long a prefix each string shares with the one before it (0 for the first)."""
     if not strings:
@@ -157,13 +183,14 @@ def front_code(entries: list[tuple]) -> bytes:
         shared.astype(np.uint8), np.array([len(r) for r in rest], np.uint8), np.array([len(e[1]) for e in entries], np.uint8), np.array([e[4] for e in entries], np.uint8),
         np.array([e[2] for e in entries], "<i8"), np.array([e[3] for e in entries], "<i4"),
     ]
-    return b"".join([np.int64(len(entries)).tobytes(), *(c.tobytes() for c in columns), *rest, *(e[1] for e in entries)])
+    return packed(b"".join([np.int64(len(entries)).tobytes(), *(c.tobytes() for c in columns), *rest, *(e[1] for e in entries)]))
 
 
 class Run:
     """One front-coded run of a range; hands out its suffixes in order."""
 
     def __init__(self, data: bytes):
+        data = unpacked(data)
         n = int(np.frombuffer(data, "<i8", 1)[0])
         at, cols = 8, []
         for kind in ("u1", "u1", "u1", "u1", "<i8", "<i4"):
@@ -335,27 +362,36 @@ def repeated_anchors(own: DataFrame, length: int, gram: int, bits: int, ranges:
 
     def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sample: list[tuple[int, bytes]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pd.DataFrame:
+            h, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            # What is known to be repeated already is sent twice.
+            times = 1 + (np.minimum.reduceat(doc, edge) < np.maximum.reduceat(doc, edge))
+            h = np.repeat(h[edge], times)
+            edges = np.searchsorted((h >> np.uint64(step)).astype(np.int64), np.arange(ranges + 1))
+            own = [r for r in range(ranges) if edges[r] < edges[r + 1]]
+            return pd.DataFrame({"range": own, "payload": [five(h[edges[r] : edges[r + 1]]) for r in own]})
+
         for pdf in batches:
             data, ids = [t.encode() for t in pdf["text"]], pdf["doc"].to_numpy()
             for parts, of, _ in cut_long(data, length):
-                joined, segments, h = anchors(parts, length, gram)
-                if not len(h):
+                x = Anchors(parts, length, gram)
+                if not len(x.at):
                     continue
-                pick = np.argsort(mixed(h), kind="stable")[:200]
-                sample += [(int(mixed(h[k : k + 1])[0] >> np.uint64(1)), joined[segments[3, k] : segments[3, k] + gram].tobytes()) for k in pick]
+                rank = mixed(x.right) >> np.uint64(1)
+                sample += [(int(rank[k]), x.data[x.at[k] : x.at[k] + gram].tobytes()) for k in np.argsort(rank, kind="stable")[:200]]
                 sample = sorted(set(sample))[:2000]
-                doc = ids[np.array(of)][segments[0]]
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
-                new = np.concatenate([[True], h[1:] != h[:-1]])
-                edge = np.flatnonzero(new)
-                twice = np.minimum.reduceat(doc, edge) < np.maximum.reduceat(doc, edge)
-                h = h[edge]
-                where = (h >> np.uint64(step)).astype(np.int64)
-                edges = np.searchsorted(where, np.arange(ranges + 1))
-                held = [r for r in range(ranges) if edges[r] < edges[r + 1]]
-                # What is known to be repeated already is sent twice.
-                yield pd.DataFrame({"range": held, "payload": [five(np.concatenate([h[i:j], h[i:j][twice[i:j]]])) for i, j in zip(edges[held], edges[np.array(held) + 1], strict=True)]})
+                doc = ids[np.array(of)][x.text]
+                held.append((np.concatenate([x.right[x.has_right], x.left[x.has_left]]), np.concatenate([doc[x.has_right], doc[x.has_left]])))
+                if sum(len(x) for x, _ in held) >= HELD:
+                    yield flush()
+        if held:
+            yield flush()
         if sample:
             yield pd.DataFrame({"range": [-1], "payload": [b"".join(k.to_bytes(8, "big") + s for k, s in sample)]})
 
@@ -387,7 +423,8 @@ def repeated_anchors(own: DataFrame, length: int, gram: int, bits: int, ranges:
 def repeats(own: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = BITMAP_BITS, run: int = RUN) -> DataFrame:
     """(doc, start, end): byte ranges of originals that strings of earlier documents cover."""
     spark = own.sparkSession
-    ranges = 1 << max(4, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    # Several ranges for each partition even their sizes out.
+    ranges = 2 << max(4, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))))
     bitmap, splitters = repeated_anchors(own, length, gram, bits, ranges)
     shared = spark.sparkContext.broadcast((bitmap, splitters))
     bits = len(bitmap).bit_length() + 2
@@ -399,6 +436,10 @@ def repeats(own: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int =
         entries: list[tuple] = []
         number = 0
 
+        def hits(h: np.ndarray) -> np.ndarray:
+            bit = (h >> np.uint64(40 - bits)).astype(np.int64)
+            return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
+
         def flush() -> Iterator[pd.DataFrame]:
             nonlocal entries, number
             entries.sort()
@@ -423,15 +464,18 @@ def repeats(own: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int =
         for pdf in batches:
             data, ids = [t.encode() for t in pdf["text"]], pdf["doc"].tolist()
             for parts, of, offset in cut_long(data, length):
-                joined, segments, h = anchors(parts, length, gram)
-                if not len(h):
+                x = Anchors(parts, length, gram)
+                if not len(x.at):
                     continue
-                bit = (h >> np.uint64(40 - bits)).astype(np.int64)
-                hit = np.flatnonzero(bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
-                whole = joined.tobytes()
+                right, left = x.has_right & hits(x.right), x.has_left & hits(x.left)
+                # Windows on a side that no other document shares are left out.
+                first = np.where(left, x.first, np.maximum(x.first, x.at - x.half))
+                last = np.where(right, x.last, np.minimum(x.last, x.at - x.half))
+                own = np.flatnonzero((right | left) & (first <= last))
+                whole = x.data.tobytes()
                 starts = np.cumsum([0, *map(len, parts)])
-                for t, first, last, at in segments[:, hit].T.tolist():
-                    entries.append((whole[at : last + length], whole[first:at], ids[of[t]], first - int(starts[t]) + offset[t], last - first + 1))
+                for t, p, q, at in zip(x.text[own].tolist(), first[own].tolist(), last[own].tolist(), x.at[own].tolist(), strict=True):
+                    entries.append((whole[at : q + length], whole[p:at], ids[of[t]], p - int(starts[t]) + offset[t], q - p + 1))
                 if len(entries) >= run:
                     yield from flush()
         if entries:
