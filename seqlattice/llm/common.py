@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import zlib
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def many_small_steps(spark: SparkSession):
+    """Without whole-stage code generation: for chains of short jobs, whose classes would cost more than they save."""
+    key = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """A broadcast hint where a count proves that the rows are few; else Spark's own choice of join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

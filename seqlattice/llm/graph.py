@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut
+from .common import shared_dir
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -20,15 +20,17 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
     links cost.  Null ends and loops are passed over.
     """
     real = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = cut(real.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    shared_dir(links.sparkSession)
+    # Not eager: the next action, which reads the state, also writes the checkpoint.
+    edges = real.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint(eager=False)
     state = _state(edges)
     for _ in range(rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(bounded_broadcast(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint(eager=False)
         if (now := _state(edges)) == state:
             break
         state = now

@@ -11,17 +11,17 @@ at a similarity of 0.8 a pair misses all of them once in about 45,000.
 
 Equal texts are one node from the start.  No bucket is paired with itself:
 
-1. Each member is verified against the bucket's least node; verified pairs give
+1. Each member is compared with the bucket's least node; verified pairs give
    classes (connected components).
-2. Buckets that still hold more than one class pair the members outside the
-   least node's class with the members of other classes, where a bucket has at
-   most ``SMALL`` nodes.
+2. In buckets that still hold more than one class, of ``SMALL`` nodes at most,
+   pairs of different classes are compared.
 3. The nodes of larger such buckets are joined exactly: a pair of similarity t
    shares one of the rarest shingles that hold a share 1 - t of either
-   text's weight, so these name finer buckets; steps 1 and 2 follow on
-   those, without a limit.
+   text's weight, so these name finer buckets; step 1 follows on those, and
+   then pairs of different classes in buckets of any size.
 
-A pair counts if the exact weighted Jaccard similarity of the two weighted
+Pairs are verified if at least 0.6 of their samples agree (at a similarity of
+0.8 fewer do once in 2,000 pairs, at 0.85 once in 200,000).  A pair counts if the exact weighted Jaccard similarity of the two weighted
 sets reaches the threshold.  The result is a class for each row, the least id
 of its members.
 
@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, bounded_broadcast, cut, quoted, ship, slices, small_batches
+from .common import beside, bounded_broadcast, cut, many_small_steps, quoted, ship, slices, small_batches
 from .graph import components
 from .shingles import mixed, powers, shingle_hashes
 
@@ -51,8 +51,10 @@ SAMPLES = BANDS * ROWS
 BITS = 18
 THRESHOLD = 0.8
 SMALL = 256
-LIKELY = 0.5
+LIKELY = 0.6
 SLICE_BYTES = 1_000_000
+CELL = 256
+PAIRS = 2000
 
 
 def gamma_table() -> np.ndarray:
@@ -106,6 +108,27 @@ def weighted_sets(texts: list[bytes], idf: np.ndarray) -> list[tuple[np.ndarray,
     return out
 
 
+def pack_set(shingles: np.ndarray, counts: np.ndarray) -> bytes:
+    """A sorted weighted set in few bytes: the first 40 bits of each shingle, and how often it occurs."""
+    import zstandard
+
+    planes = (shingles >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes() + counts.astype("<u4").tobytes())
+
+
+def unpack_set(data: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, weights)."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = len(raw) // 9
+    f = np.zeros((n, 8), np.uint8)
+    f[:, :5] = np.frombuffer(raw, np.uint8, 5 * n).reshape(5, n).T
+    f = f.view("<u8").ravel()
+    shift = np.uint64(40 - (len(idf).bit_length() - 1))
+    return f, np.frombuffer(raw, "<u4", n, 5 * n) * idf[(f >> shift).astype(np.int64)]
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two weighted sets."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -138,12 +161,21 @@ def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
     return (1 + np.log(np.maximum(n, 1) / np.clip(df, 1, max(n, 1))) / max(np.log(max(n, 2)), 1e-9)).astype(np.float32)
 
 
+def agreement(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """The share of equal samples of pairs of signatures: an unbiased estimate of the similarity."""
+    if not len(a):
+        return np.zeros(0)
+    x, y = (np.frombuffer(b"".join(c), np.uint32).reshape(len(c), -1) for c in (a, b))
+    return (x == y).mean(1)
+
+
 class Finder:
     """The links between the distinct texts of ``docs``."""
 
     def __init__(self, docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL):
         small_batches(docs.sparkSession)
         self.docs, self.threshold, self.small = docs.where("text is not null").select(F.md5("text").alias("node"), "text"), threshold, small
+        self.made: DataFrame | None = None
         self.idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(*document_frequencies(docs)))
 
     def signatures(self) -> DataFrame:
@@ -166,96 +198,137 @@ class Finder:
         return rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"))
 
     def vectors(self, nodes: DataFrame) -> DataFrame:
-        """(node, shingles, weights, signature) of the given nodes with their signatures."""
-        idf = self.idf
-        texts = self.docs.join(bounded_broadcast(nodes.select("node"), 200_000), "node").dropDuplicates(["node"])
+        """(node, packed) that hold the given nodes; what an earlier call made is used again."""
+        missing = nodes.select("node") if self.made is None else nodes.select("node").join(self.made.select("node"), "node", "left_anti")
+        missing = cut(missing)
+        if self.made is not None and not missing.limit(1).count():
+            return self.made
+        texts = self.docs.join(bounded_broadcast(missing, 200_000), "node").dropDuplicates(["node"])
 
         def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 data = [t.encode() for t in pdf["text"]]
                 for i, j in slices([len(t) for t in data], SLICE_BYTES):
-                    sets = weighted_sets(data[i:j], idf.value)
-                    yield pd.DataFrame({"node": pdf["node"].iloc[i:j], "shingles": [f.tobytes() for f, _ in sets], "weights": [w.tobytes() for _, w in sets]})
+                    sets = [np.unique(s >> np.uint64(24) << np.uint64(24), return_counts=True) for s in shingle_hashes(data[i:j])]
+                    yield pd.DataFrame({"node": pdf["node"].iloc[i:j], "packed": [pack_set(f, n) for f, n in sets]})
 
-        return cut(texts.mapInPandas(op, "node string, shingles binary, weights binary").join(nodes.select("node", "signature"), "node"))
+        new = cut(texts.mapInPandas(op, "node string, packed binary"))
+        self.made = new if self.made is None else self.made.unionByName(new)
+        return self.made
 
-    def verified(self, pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold, with it."""
-        threshold = self.threshold
-        side = lambda x: vectors.select(F.col("node").alias(x), F.struct("shingles", "weights", "signature").alias(f"v{x}"))
-        met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[F.col(f"v{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("shingles", "weights", "signature")])
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold, with it.
 
-        def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                signed = [np.frombuffer(b"".join(pdf[f"signature_{x}"]), np.uint32).reshape(len(pdf), -1) for x in "ab"]
-                likely = (signed[0] == signed[1]).mean(1) >= LIKELY if len(pdf) else np.zeros(0, bool)
-                out = []
-                for r in pdf[likely].itertuples(index=False):
-                    s = similarity((np.frombuffer(r.shingles_a, np.uint64), np.frombuffer(r.weights_a, np.float32)), (np.frombuffer(r.shingles_b, np.uint64), np.frombuffer(r.weights_b, np.float32)))
-                    if s >= threshold:
-                        out.append((r.a, r.b, s))
-                yield pd.DataFrame(out, columns=["a", "b", "similarity"])
-
-        return met.mapInPandas(op, "a string, b string, similarity double")
-
-    def rare(self, vectors: DataFrame) -> DataFrame:
-        """(key, node): the rarest shingles that hold a share 1 - threshold of a text's weight, and the one after."""
+        A node goes to cells, not to pairs: nodes with one least partner lie in
+        one cell (of about ``CELL`` nodes), and a pair of cells gets each of its
+        nodes once, however many of its pairs the node is in.
+        """
+        threshold, idf = self.threshold, self.idf
+        pairs = cut(pairs.select("a", "b"))
+        vectors = self.vectors(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+        cells = ends.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("c"))
+        parts = cells.groupBy("c").agg(F.ceil(F.count("*") / CELL).alias("parts"))
+        cells = cut(cells.join(parts, "c").select("node", F.xxhash64("c", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("cell")))
+        placed = pairs
+        for x in "ab":
+            placed = placed.join(cells.select(F.col("node").alias(x), F.col("cell").alias(f"c{x}")), x)
+        groups = max(1, pairs.count() // PAIRS)  # small pairs of cells share a group
+        placed = cut(placed.select(F.pmod(F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")), F.lit(groups)).alias("k"), "a", "b"))
+        sent = placed.select("k", F.col("a").alias("node")).union(placed.select("k", "b")).distinct().join(vectors, "node").select(F.col("k").alias("cells"), "node", "packed")
+
+        def op(some: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+            held = {n: unpack_set(p, idf.value) for n, p in zip(sets["node"], sets["packed"], strict=True)}
+            out = [(a, b, similarity(held[a], held[b])) for a, b in zip(some["a"], some["b"], strict=True)]
+            return pd.DataFrame([x for x in out if x[2] >= threshold], columns=["a", "b", "similarity"])
+
+        return cut(placed.groupBy("k").cogroup(sent.groupBy("cells")).applyInPandas(op, "a string, b string, similarity double"))
+
+    def rare(self, nodes: DataFrame) -> DataFrame:
+        """(key, node, signature): a text's rarest shingles, as many as hold a share 1 - threshold of its weight, and one more."""
         threshold, idf = self.threshold, self.idf
 
         def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for r in pdf.itertuples(index=False):
-                    f, w = np.frombuffer(r.shingles, np.uint64), np.frombuffer(r.weights, np.float32)
-                    each = idf.value[(f >> np.uint64(64 - (len(idf.value).bit_length() - 1))).astype(np.int64)]
+                    f, w = unpack_set(r.packed, idf.value)
+                    each = idf.value[(f >> np.uint64(40 - (len(idf.value).bit_length() - 1))).astype(np.int64)]
                     order = np.lexsort((f, -each))
                     held = np.cumsum(w[order], dtype=np.float64)
                     k = int(np.searchsorted(held, (1 - threshold) * held[-1] * (1 + 1e-6), side="right")) + 1
                     yield pd.DataFrame({"key": f[order[:k]].view(np.int64), "node": r.node})
 
-        return vectors.select("node", "shingles", "weights").mapInPandas(op, "key long, node string")
+        keys = self.vectors(nodes).join(nodes.select("node"), "node").mapInPandas(op, "key long, node string")
+        return keys.join(nodes, "node").select("key", "node", "signature")
+
+    def to_leaders(self, buckets: DataFrame) -> DataFrame:
+        """(a, b, likeness): each member of a bucket with the bucket's least node, where their samples let a link be likely."""
+        least = buckets.groupBy("key").agg(F.min(F.struct("node", "signature")).alias("lead"))
+        met = buckets.join(least, "key").where("lead.node < node").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.signature").alias("sa"), F.col("signature").alias("sb"))
+
+        def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                pdf["likeness"] = agreement(pdf["sa"], pdf["sb"])
+                yield pdf.loc[pdf["likeness"] >= LIKELY, ["a", "b", "likeness"]]
 
-    def leaders(self, buckets: DataFrame) -> DataFrame:
-        """Each member of a bucket with the bucket's least node, once."""
-        least = buckets.groupBy("key").agg(F.min("node").alias("a"))
-        return buckets.join(least, "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
+        return met.mapInPandas(op, "a string, b string, likeness double").groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
-    def rest(self, buckets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of buckets with several classes: (key, node, label, lead: label of the least node, n), and the classes."""
+    def rest(self, buckets: DataFrame, links: DataFrame) -> DataFrame:
+        """Buckets that still hold several classes: (key, node, signature, label, lead: the least node's label, n)."""
         labels = components(links, "a", "b")
-        marked = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        mixed_ = marked.groupBy("key").agg(F.min("label").alias("__lo"), F.max("label").alias("__hi"), F.count("*").alias("n"), F.min(F.struct("node", "label")).alias("__least")).where("__lo < __hi")
-        return cut(marked.join(mixed_.select("key", "n", F.col("__least.label").alias("lead")), "key")), labels
+        marked = buckets.join(labels, "node", "left").select("key", "node", "signature", F.coalesce("label", "node").alias("label"))
+        several = marked.groupBy("key").agg(F.min("label").alias("__lo"), F.max("label").alias("__hi"), F.count("*").alias("n"), F.min(F.struct("node", "label")).alias("__least")).where("__lo < __hi")
+        return cut(marked.join(several.select("key", "n", F.col("__least.label").alias("lead")), "key"))
+
+    def across_small(self, rest: DataFrame) -> DataFrame:
+        """Likely pairs of different classes within buckets of at most ``small`` nodes."""
+
+        def op(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), -1)
+            node, label = pdf["node"].to_numpy(), pd.factorize(pdf["label"])[0]
+            out: list[tuple[str, str, float]] = []
+            for i in range(len(pdf) - 1):
+                likeness = (x[i + 1 :] == x[i]).mean(1)
+                for j in np.flatnonzero((likeness >= LIKELY) & (label[i + 1 :] != label[i])):
+                    out.append((*sorted((node[i], node[i + 1 + j])), likeness[j]))
+            return pd.DataFrame(out, columns=["a", "b", "likeness"])
+
+        return rest.where(F.col("n") <= self.small).groupBy("key").applyInPandas(op, "a string, b string, likeness double").distinct()
+
+    def across_large(self, rest: DataFrame) -> DataFrame:
+        """Likely pairs of different classes that share a bucket of any size; the least node's class only meets the others."""
+        some = rest.where("label != lead").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("signature").alias("sx"))
+        met = some.join(rest.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("signature").alias("sy")), "key").where("lx != ly").select("x", "y", "sx", "sy")
+
+        def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                likeness = agreement(pdf["sx"], pdf["sy"])
+                pdf = pdf[likeness >= LIKELY]
+                yield pd.DataFrame({"a": pdf[["x", "y"]].min(axis=1).astype(str), "b": pdf[["x", "y"]].max(axis=1).astype(str), "likeness": likeness[likeness >= LIKELY]})
 
-    def across(self, rest: DataFrame) -> DataFrame:
-        """Pairs of different classes that share a bucket; members of the least node's class only meet the others."""
-        some = rest.where("label != lead").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-        met = some.join(rest.select("key", F.col("node").alias("y"), F.col("label").alias("ly")), "key").where("lx != ly")
-        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        return met.mapInPandas(op, "a string, b string, likeness double").distinct()
 
     def links(self) -> DataFrame:
+        """All links found: (a, b, similarity)."""
         signed = cut(self.signatures())
-        all_ = signed.select("node", F.explode("bands").alias("key"))
-        shared = all_.groupBy("key").agg(F.min("node").alias("__lo"), F.max("node").alias("__hi")).where("__lo < __hi").select("key")
-        buckets = cut(all_.join(shared, "key").select("key", "node"))
-        vectors = self.vectors(signed.join(buckets.select("node").distinct(), "node").select("node", "signature"))
-        tried = cut(self.leaders(buckets))
-        found = cut(self.verified(tried, vectors))
-        rest, _ = self.rest(buckets, found)
-        pairs = self.across(rest.where(F.col("n") <= self.small)).join(tried, ["a", "b"], "left_anti")
-        found = cut(found.unionByName(self.verified(pairs, vectors)))
-        large = rest.where(F.col("n") > self.small).select("node").distinct()
+        every = signed.select("node", F.explode("bands").alias("key"))
+        shared = every.groupBy("key").agg(F.min("node").alias("__lo"), F.max("node").alias("__hi")).where("__lo < __hi").select("key")
+        buckets = cut(every.join(shared, "key").select("key", "node").join(signed.select("node", "signature"), "node").select("key", "node", "signature"))
+        found = self.verified(self.to_leaders(buckets))
+        rest = self.rest(buckets, found)
+        found = cut(found.unionByName(self.verified(self.across_small(rest))))
+        large = rest.where(F.col("n") > self.small).select("node", "signature").dropDuplicates(["node"])
         if large.limit(1).count():
-            finer = cut(self.rare(vectors.join(large, "node")))
-            found = cut(found.unionByName(self.verified(self.leaders(finer), vectors)))
-            rest, _ = self.rest(finer, found)
-            found = cut(found.unionByName(self.verified(self.across(rest), vectors)).distinct())
+            finer = cut(self.rare(cut(large)))
+            found = cut(found.unionByName(self.verified(self.to_leaders(finer))))
+            found = cut(found.unionByName(self.verified(self.across_large(self.rest(finer, found)))))
         return found
 
 
 def classed(docs: DataFrame, names: list[str], threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
     """Each row of ``docs`` as a struct ``row`` of the named columns, with its id, class_id and class_size."""
-    found = Finder(docs, threshold, small).links()
-    labels = components(found, "a", "b")
+    with many_small_steps(docs.sparkSession):
+        labels = cut(components(Finder(docs, threshold, small).links(), "a", "b"))
     ids = docs.where("text is not null").groupBy(F.md5("text").alias("node")).agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     marked = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     per = marked.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
