@@ -57,9 +57,10 @@ def join_frames(left: DataFrame, lv: View, right: DataFrame, rv: View, q: Patter
         conditions.append(same_partition(q, g.ordered(lv)[0], g.ordered(rv)[0]))
     windows = g.windows()
     ts = order_columns(q)[0]
-    reach = {(a, b): w for (a, b), w in windows.items() if spans((a, b)) and not (q.variable(a).kleene or q.variable(b).kleene)}
+    reach = {(a, b): w for (a, b), w in windows.items() if spans((a, b))}
     for (a, b), w in reach.items():  # what follows from the other predicates bounds the frames on both sides
-        x, y = (number(F.col(f"{v}.{ts}"), field_type(f, v, ts)) for v, f in ((a, left if a in lv else right), (b, left if b in lv else right)))
+        ends = (last_key(q, a), left if a in lv else right), (first_key(q, b), left if b in lv else right)
+        x, y = (number(F.col(f"{key}.{ts}"), field_type(f, *key.split("."), ts)) for key, f in ends)
         conditions.append(y - x <= F.lit(w))
     extra = [rangejoin.Axis((*first_key(q, b).split("."), ts), (*last_key(q, a).split("."), ts), 0.0, w) for (a, b), w in reach.items()]
     bins = [] if shared else rangejoin.axes(preds, extra)
