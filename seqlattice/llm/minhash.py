@@ -20,10 +20,12 @@ Equal texts are one node from the start.  No bucket is paired with itself:
    text's weight, so these name finer buckets; step 1 follows on those, and
    then pairs of different classes in buckets of any size.
 
-Pairs are verified if at least 0.6 of their samples agree (at a similarity of
-0.8 fewer do once in 2,000 pairs, at 0.85 once in 200,000).  A pair counts if the exact weighted Jaccard similarity of the two weighted
-sets reaches the threshold.  The result is a class for each row, the least id
-of its members.
+A pair is left unverified only where it cannot reach the threshold: a sketch
+holds a set's weight in each of ``PLACES`` places, rounded up, and two sets share
+no more of a place than the lesser of both.  No estimate decides, so a pair of
+any bucket that reaches the threshold is found.  A pair counts if the exact
+weighted Jaccard similarity of the two weighted sets reaches the threshold.  The
+result is a class for each row, the least id of its members.
 
 Defined results: a null text is in a class of its own row's id; texts without
 a word are alike only if equal; a text of fewer than five words is one shingle;
@@ -51,7 +53,7 @@ SAMPLES = BANDS * ROWS
 BITS = 18
 THRESHOLD = 0.8
 SMALL = 256
-LIKELY = 0.6
+PLACES = 184
 SLICE_BYTES = 1_000_000
 CELL = 256
 PAIRS = 2000
@@ -161,12 +163,24 @@ def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
     return (1 + np.log(np.maximum(n, 1) / np.clip(df, 1, max(n, 1))) / max(np.log(max(n, 2)), 1e-9)).astype(np.float32)
 
 
-def agreement(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """The share of equal samples of pairs of signatures: an unbiased estimate of the similarity."""
-    if not len(a):
-        return np.zeros(0)
-    x, y = (np.frombuffer(b"".join(c), np.uint32).reshape(len(c), -1) for c in (a, b))
-    return (x == y).mean(1)
+def sketch(shingles: np.ndarray, weights: np.ndarray) -> bytes:
+    """The weight of a set, a step, and the set's weight in each place as that many steps, rounded up; a place follows from the bits that packed sets keep."""
+    held = np.bincount(((shingles >> np.uint64(24)) % np.uint64(PLACES)).astype(np.int64), weights, PLACES)
+    step = np.float32(held.max() / 255 * (1 + 1e-6))
+    return np.array([held.sum(), step], np.float32).tobytes() + np.ceil(held / step).clip(0, 255).astype(np.uint8).tobytes()
+
+
+def unsketch(sketches: list[bytes] | pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, weights in each place) of sketches."""
+    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), 8 + PLACES)
+    head = np.ascontiguousarray(rows[:, :8]).view(np.float32)
+    return head[:, 0], rows[:, 8:] * head[:, 1:]
+
+
+def possible(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """Whether sets of these weights can reach the threshold: never false where they do."""
+    both = np.minimum(np.minimum(a[1], b[1]).sum(1), np.minimum(a[0], b[0]))
+    return both >= threshold * (1 - 1e-4) * (a[0] + b[0] - both)
 
 
 class Finder:
@@ -179,7 +193,7 @@ class Finder:
         self.idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(*document_frequencies(docs)))
 
     def signatures(self) -> DataFrame:
-        """(node, bands, signature) of each distinct text with a word."""
+        """(node, bands, sketch) of each distinct text with a word."""
         idf = self.idf
 
         def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,10 +206,10 @@ class Finder:
                     if own:
                         sizes = np.array([len(sets[k][0]) for k in own])
                         got = sample_sets(np.concatenate([sets[k][0] for k in own]), np.concatenate([sets[k][1] for k in own]), np.cumsum(sizes) - sizes)
-                        yield pd.DataFrame({"node": pdf["node"].iloc[[i + k for k in own]], "bands": list(band_keys(got)), "signature": [x.tobytes() for x in got]})
+                        yield pd.DataFrame({"node": pdf["node"].iloc[[i + k for k in own]], "bands": list(band_keys(got)), "sketch": [sketch(*sets[k]) for k in own]})
 
-        rows = self.docs.mapInPandas(op, "node string, bands array<long>, signature binary")
-        return rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+        rows = self.docs.mapInPandas(op, "node string, bands array<long>, sketch binary")
+        return rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
 
     def vectors(self, nodes: DataFrame) -> DataFrame:
         """(node, packed) that hold the given nodes; what an earlier call made is used again."""
@@ -245,7 +259,7 @@ class Finder:
         return cut(placed.groupBy("k").cogroup(sent.groupBy("cells")).applyInPandas(op, "a string, b string, similarity double"))
 
     def rare(self, nodes: DataFrame) -> DataFrame:
-        """(key, node, signature): a text's rarest shingles, as many as hold a share 1 - threshold of its weight, and one more."""
+        """(key, node, sketch): a text's rarest shingles, as many as hold a share 1 - threshold of its weight, and one more."""
         threshold, idf = self.threshold, self.idf
 
         def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,65 +273,66 @@ class Finder:
                     yield pd.DataFrame({"key": f[order[:k]].view(np.int64), "node": r.node})
 
         keys = self.vectors(nodes).join(nodes.select("node"), "node").mapInPandas(op, "key long, node string")
-        return keys.join(nodes, "node").select("key", "node", "signature")
+        return keys.join(nodes, "node").select("key", "node", "sketch")
 
     def to_leaders(self, buckets: DataFrame) -> DataFrame:
-        """(a, b, likeness): each member of a bucket with the bucket's least node, where their samples let a link be likely."""
-        least = buckets.groupBy("key").agg(F.min(F.struct("node", "signature")).alias("lead"))
-        met = buckets.join(least, "key").where("lead.node < node").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.signature").alias("sa"), F.col("signature").alias("sb"))
+        """(a, b): each member of a bucket with the bucket's least node, where their sketches allow a link."""
+        threshold = self.threshold
+        least = buckets.groupBy("key").agg(F.min(F.struct("node", "sketch")).alias("lead"))
+        met = buckets.join(least, "key").where("lead.node < node").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.sketch").alias("sa"), F.col("sketch").alias("sb"))
 
         def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                pdf["likeness"] = agreement(pdf["sa"], pdf["sb"])
-                yield pdf.loc[pdf["likeness"] >= LIKELY, ["a", "b", "likeness"]]
+                yield pdf.loc[possible(unsketch(pdf["sa"]), unsketch(pdf["sb"]), threshold), ["a", "b"]]
 
-        return met.mapInPandas(op, "a string, b string, likeness double").groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+        return met.mapInPandas(op, "a string, b string").distinct()
 
     def rest(self, buckets: DataFrame, links: DataFrame) -> DataFrame:
-        """Buckets that still hold several classes: (key, node, signature, label, lead: the least node's label, n)."""
+        """Buckets that still hold several classes: (key, node, sketch, label, lead: the least node's label, n)."""
         labels = components(links, "a", "b")
-        marked = buckets.join(labels, "node", "left").select("key", "node", "signature", F.coalesce("label", "node").alias("label"))
+        marked = buckets.join(labels, "node", "left").select("key", "node", "sketch", F.coalesce("label", "node").alias("label"))
         several = marked.groupBy("key").agg(F.min("label").alias("__lo"), F.max("label").alias("__hi"), F.count("*").alias("n"), F.min(F.struct("node", "label")).alias("__least")).where("__lo < __hi")
         return cut(marked.join(several.select("key", "n", F.col("__least.label").alias("lead")), "key"))
 
     def across_small(self, rest: DataFrame) -> DataFrame:
-        """Likely pairs of different classes within buckets of at most ``small`` nodes."""
+        """Possible pairs of different classes within buckets of at most ``small`` nodes."""
+        threshold = self.threshold
 
         def op(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), -1)
+            total, held = unsketch(pdf["sketch"])
             node, label = pdf["node"].to_numpy(), pd.factorize(pdf["label"])[0]
-            out: list[tuple[str, str, float]] = []
+            out: list[tuple[str, str]] = []
             for i in range(len(pdf) - 1):
-                likeness = (x[i + 1 :] == x[i]).mean(1)
-                for j in np.flatnonzero((likeness >= LIKELY) & (label[i + 1 :] != label[i])):
-                    out.append((*sorted((node[i], node[i + 1 + j])), likeness[j]))
-            return pd.DataFrame(out, columns=["a", "b", "likeness"])
+                can = possible((total[i + 1 :], held[i + 1 :]), (total[i], held[i]), threshold)
+                for j in np.flatnonzero(can & (label[i + 1 :] != label[i])):
+                    out.append(tuple(sorted((node[i], node[i + 1 + j]))))
+            return pd.DataFrame(out, columns=["a", "b"])
 
-        return rest.where(F.col("n") <= self.small).groupBy("key").applyInPandas(op, "a string, b string, likeness double").distinct()
+        return rest.where(F.col("n") <= self.small).groupBy("key").applyInPandas(op, "a string, b string").distinct()
 
     def across_large(self, rest: DataFrame) -> DataFrame:
-        """Likely pairs of different classes that share a bucket of any size; the least node's class only meets the others."""
-        some = rest.where("label != lead").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("signature").alias("sx"))
-        met = some.join(rest.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("signature").alias("sy")), "key").where("lx != ly").select("x", "y", "sx", "sy")
+        """Possible pairs of different classes that share a bucket of any size; the least node's class only meets the others."""
+        threshold = self.threshold
+        some = rest.where("label != lead").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("sketch").alias("sx"))
+        met = some.join(rest.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("sketch").alias("sy")), "key").where("lx != ly").select("x", "y", "sx", "sy")
 
         def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                likeness = agreement(pdf["sx"], pdf["sy"])
-                pdf = pdf[likeness >= LIKELY]
-                yield pd.DataFrame({"a": pdf[["x", "y"]].min(axis=1).astype(str), "b": pdf[["x", "y"]].max(axis=1).astype(str), "likeness": likeness[likeness >= LIKELY]})
+                pdf = pdf[possible(unsketch(pdf["sx"]), unsketch(pdf["sy"]), threshold)]
+                yield pd.DataFrame({"a": pdf[["x", "y"]].min(axis=1).astype(str), "b": pdf[["x", "y"]].max(axis=1).astype(str)})
 
-        return met.mapInPandas(op, "a string, b string, likeness double").distinct()
+        return met.mapInPandas(op, "a string, b string").distinct()
 
     def links(self) -> DataFrame:
         """All links found: (a, b, similarity)."""
         signed = cut(self.signatures())
         every = signed.select("node", F.explode("bands").alias("key"))
         shared = every.groupBy("key").agg(F.min("node").alias("__lo"), F.max("node").alias("__hi")).where("__lo < __hi").select("key")
-        buckets = cut(every.join(shared, "key").select("key", "node").join(signed.select("node", "signature"), "node").select("key", "node", "signature"))
+        buckets = cut(every.join(shared, "key").select("key", "node").join(signed.select("node", "sketch"), "node").select("key", "node", "sketch"))
         found = self.verified(self.to_leaders(buckets))
         rest = self.rest(buckets, found)
         found = cut(found.unionByName(self.verified(self.across_small(rest))))
-        large = rest.where(F.col("n") > self.small).select("node", "signature").dropDuplicates(["node"])
+        large = rest.where(F.col("n") > self.small).select("node", "sketch").dropDuplicates(["node"])
         if large.limit(1).count():
             finer = cut(self.rare(cut(large)))
             found = cut(found.unionByName(self.verified(self.to_leaders(finer))))

@@ -205,6 +205,29 @@ def brute_classes(rows):
     return sorted(out)
 
 
+def test_no_estimate_drops_a_pair(spark):
+    r = random.Random(1057)  # 27 of 48 samples agree at a similarity of 0.801
+    words = [f"w{r.randrange(10**6)}" for _ in range(175)]
+    near = [*words[:60], "x1", *words[61:120], "x2", *words[121:]]
+    rows = [(1, " ".join(words)), (2, " ".join(near))]
+    got = sorted((x.doc_id, x.class_id, x.class_size) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_classes(rows) == [(1, 1, 2), (2, 1, 2)]
+
+
+def test_sketches_bound_the_similarity():
+    r = np.random.default_rng(7)
+    sets = []
+    for overlap in np.linspace(0.05, 1, 80):
+        a = np.unique(r.integers(0, 1 << 63, int(r.integers(1, 3000))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: int(overlap * len(a))], r.integers(0, 1 << 63, len(a) - int(overlap * len(a))).astype(np.uint64)]))
+        sets += [(x, (r.integers(1, 4, len(x)) * r.uniform(1, 2, len(x))).astype(np.float32)) for x in (a, b)]
+    held = minhash.unsketch([minhash.sketch(*x) for x in sets])
+    for k in range(0, len(sets), 2):
+        a, b = ((held[0][i : i + 1], held[1][i : i + 1]) for i in (k, k + 1))
+        assert minhash.possible(a, b, minhash.similarity(sets[k], sets[k + 1])).all()
+    assert not minhash.possible((held[0][:1], held[1][:1]), (held[0][1:2], held[1][1:2]), 0.8).any()
+
+
 @pytest.mark.parametrize("small", [256, 2])
 def test_near_duplicates(spark, rows, docs, small):
     got = sorted((order(r.doc_id), order(r.class_id), r.class_size) for r in minhash.near_duplicates(docs, small=small).collect())
