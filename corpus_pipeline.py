@@ -39,8 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document of the mix and their digests."""
-    return sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ("doc_id", "lang", "source"))
+    """The ids of each document of the mix, the text they decode to, and the digests of both."""
+    return sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ("doc_id", "lang", "source"), full=True)
 
 
 STAGES = [("quality_rules", rules), ("line_dedup", lines), ("minhash_near_dedup", near), ("source_mixing", mix), ("sentencepiece", encode)]

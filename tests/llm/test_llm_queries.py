@@ -27,6 +27,16 @@ def test_query(spark, name):
         assert norm(got) == norm(want)
 
 
+def test_pipeline_returns_the_ids(spark):
+    import sentencepiece
+
+    docs = spark.createDataFrame([(1, "some words", "en", "a", 10), (2, "", "en", "b", 0), (3, None, "fr", None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.encode(spark, docs, DATA).collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.public_tokenizers.path("piece_bpe_32k.model"))
+    for k, text in ((1, "some words"), (2, ""), (3, "")):
+        assert got[k].ids == [*sp.encode(text), sp.eos_id()] and got[k].decoded == text and len(got[k].ids) == got[k].n_tokens
+
+
 def test_one_query_for_each_operator():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
 
