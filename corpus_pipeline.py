@@ -24,8 +24,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; documents stay, with their new length."""
-    return line_dedup.dedup(docs.select(*COLUMNS)).selectExpr("doc_id", "text", "lang", "source", "cast(char_length(text) as bigint) as n_chars")
+    """Repeated lines go, also short ones; documents stay, with their new length."""
+    return line_dedup.dedup(docs.select(*COLUMNS), short=True).selectExpr("doc_id", "text", "lang", "source", "cast(char_length(text) as bigint) as n_chars")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Lines are the pieces between line feeds; their order is (doc_id, position).  A
 line of at least ``LEAST`` characters is removed if an earlier line, in any
 document, is within Levenshtein distance 1 of it (a character put in, taken
-out or changed).  Lines are judged on the input, not on what is left; shorter
-lines always stay.
+out or changed).  Lines are judged on the input, not on what is left.  Shorter
+lines stay, or with ``short`` go if an earlier line equals them, but for blank ones.
 
 The method is a deletion-neighbourhood join, and everything in it is a
 grouped minimum, so no group is ever paired with itself:
@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, bounded_broadcast, cut, quoted
+from .common import NOT_SPACE, beside, bounded_broadcast, cut, quoted
 
 LEAST = 20
 PARTS = 8
@@ -119,9 +119,19 @@ def removed_lines(docs: DataFrame, least: int = LEAST, parts: int = PARTS) -> Da
     return lines.select("doc_id", "pos", "h", "g", "at").join(bounded_broadcast(marks, BROADCAST_ROWS), ["h", "g"]).where("near or at > first").select("doc_id", "pos").distinct()
 
 
-def dedup(docs: DataFrame, least: int = LEAST, parts: int = PARTS) -> DataFrame:
-    """The rows of ``docs`` with what is left of their texts, and n_lines and n_removed."""
-    gone = removed_lines(docs, least, parts).groupBy("doc_id").agg(F.collect_list("pos").alias("__gone")).select(F.col("doc_id").alias("__id"), "__gone")
+def removed_short_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(doc_id, pos) of each line under ``least`` characters, but for blank ones, that an earlier line equals, once."""
+    lines = lines_of(docs, 1).where((F.col("n") < least) & F.col("line").rlike(NOT_SPACE)).select("doc_id", "pos", "h", "g", "at")
+    marks = cut(lines.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"))
+    return lines.join(bounded_broadcast(marks, BROADCAST_ROWS), ["h", "g"]).where(earlier("first", "at")).select("doc_id", "pos").distinct()
+
+
+def dedup(docs: DataFrame, least: int = LEAST, parts: int = PARTS, short: bool = False) -> DataFrame:
+    """The rows of ``docs`` with what is left of their texts, and n_lines and n_removed; ``short``: equal short lines go too."""
+    removed = removed_lines(docs, least, parts)
+    if short:
+        removed = removed.unionByName(removed_short_lines(docs, least))
+    gone = removed.groupBy("doc_id").agg(F.collect_list("pos").alias("__gone")).select(F.col("doc_id").alias("__id"), "__gone")
     gone = cut(gone)
     size = gone.agg(F.coalesce(F.sum(F.size("__gone")), F.lit(0)).alias("n")).first()["n"]
     own = docs.select(F.struct(*quoted(docs.columns)).alias("__row"), F.col("doc_id").alias("__of"), F.split("text", "\n", -1).alias("__lines"))

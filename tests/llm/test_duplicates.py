@@ -142,6 +142,16 @@ def test_lines_of_documents(spark, rows):
     check_lines(spark, [r for r in rows if by_id[r[0]] == 1 and len(r[1] or "") < 4000], 20)
 
 
+def test_short_lines_go_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    long = "a line of more than twenty characters"
+    rows = [(None, "zero"), (1, f"one\n\n  \ntwo\n{long}"), (2, "two\n\n  \none\nones\nzero"), (3, f"ones\nthree\n{long}s"), (4, "one"), (5, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {None: "zero", 1: f"one\n\n  \ntwo\n{long}", 2: "\n  \nones", 3: "three", 4: "", 5: None}
+
+
 def test_lines_keep_other_columns(wide):
     out = line_dedup.dedup(wide)
     assert out.columns == [c for c in wide.columns if c not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"]
