@@ -11,9 +11,11 @@ The method is a distributed merge sort of suffixes that knows common prefixes:
    windows have equal anchors, and neighbouring windows mostly share theirs, so
    only the suffixes at anchors are sorted, each with the windows it stands for.
 2. Duplicate detection.  A window matters only if what it holds around its anchor
-   (35 bytes, to the right or to the left) occurs in two documents.  Hashes of
-   these are exchanged once (five bytes each, before compression) and the repeated
-   ones marked in a bitmap of fixed size; a wrong hit costs time only.
+   (35 bytes, to the right or to the left) occurs in two documents.  Texts are
+   gathered into blocks; a block sends the sorted hashes of these once (five bytes
+   each, before compression), cut into parts, and gets back a bit for each in
+   their order.  Nothing is collected, so it prunes as well at any size; a wrong hit
+   costs time only.
 3. Runs.  A task sorts the suffixes it has left, in runs of at most ``RUN``.
    Equal suffixes with equal contexts in one run are sent once, with the least
    document; the others repeat that one, so their marks are known on the spot.
@@ -28,9 +30,14 @@ The method is a distributed merge sort of suffixes that knows common prefixes:
    windows around one anchor string, those of equal bytes get their least
    document.  Windows of later documents mark their bytes.
 
-Equal texts are found first by a hash of the whole: a later copy goes wholly.
-Windows around one anchor string are compared by a 64-bit hash within that
-group, the anchor strings themselves by their bytes.
+Equal texts are found first by 128 bits of SHA-256 of the whole: a later copy goes
+wholly.  Windows around one anchor string are grouped by a hash, and a window is
+marked once its bytes equal those of its group's earliest; where a group holds
+different bytes, they are told apart.
+
+The numbers of parts and of ranges follow the bytes of the input, so that each
+holds about as much however large it is.  A range's anchor string is one group of
+one merge: what keeps it small is that equal entries of a run are sent once.
 
 Defined results: a null text counts as empty; a text shorter than ``LENGTH``
 stays whole; a null id comes before all others; rows that repeat an id are one
@@ -40,12 +47,12 @@ document, so they don't repeat each other, and each is cut alike.
 from __future__ import annotations
 
 import hashlib
-import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, cut, ship, small_batches
@@ -54,10 +61,11 @@ from .shingles import mixed, powers
 ship(__name__)
 
 LENGTH, GRAM = 50, 20
-BITMAP_BITS = 27
+BLOCK_BYTES = 8_000_000
+PART_BYTES = 4_000_000  # of text, for each part of the hashes and range of the suffixes
 RUN = 300_000
-HELD = 700_000
-SAMPLE = 20_000
+SAMPLE, SAMPLED_BLOCKS = 20_000, 16
+CHECKED = 20_000
 SLICE_BYTES = 450_000
 PLACE_BITS = 20  # of a place within a slice; longer texts are cut into overlapping slices
 FIRST = -(1 << 63)
@@ -139,15 +147,15 @@ def cut_long(texts: list[bytes], length: int = LENGTH, most: int = SLICE_BYTES)
         yield parts, of, offset
 
 
-def five(h: np.ndarray) -> bytes:
+def planes(h: np.ndarray) -> bytes:
     """Sorted 40-bit hashes as five planes of bytes, of which the high ones compress well."""
-    return packed(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes())
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
 
 
-def unfive(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(unpacked(data), np.uint8).reshape(5, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :5] = planes.T
+def unplanes(data: bytes) -> np.ndarray:
+    got = np.frombuffer(data, np.uint8).reshape(5, -1)
+    out = np.zeros((got.shape[1], 8), np.uint8)
+    out[:, :5] = got.T
     return out.view("<u8").ravel()
 
 
@@ -275,6 +283,19 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, bytes, int]]:
             node //= 2
 
 
+def same_windows(grid: np.ndarray, back: np.ndarray, entry: np.ndarray, offset: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the windows ``a`` hold the same bytes as the windows ``b``."""
+    out = np.ones(len(a), bool)
+    for lo in range(0, len(a), CHECKED):
+        x, y = a[lo : lo + CHECKED], b[lo : lo + CHECKED]
+        o = offset[x][:, None]
+        most = int(o.max())
+        same = ((grid[entry[x], :length] == grid[entry[y], :length]) | (np.arange(length) >= length - o)).all(1)
+        same &= ((back[entry[x], :most] == back[entry[y], :most]) | (np.arange(most) >= o)).all(1)
+        out[lo : lo + CHECKED] = same & (offset[x] == offset[y])
+    return out
+
+
 def marks_of(right: list[bytes], left: list[bytes], doc: np.ndarray, first: np.ndarray, windows: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Byte ranges (entry, start, end) that windows of later documents cover.
 
@@ -295,19 +316,33 @@ def marks_of(right: list[bytes], left: list[bytes], doc: np.ndarray, first: np.n
             after[length - 1 - k] = mixed(h)
     base = mixed(group.astype(np.uint64) + np.uint64(1))
     before = np.zeros(n, np.uint64)
-    keys, entry, place = [], [], []
+    keys, entry, offset = [], [], []
     for o in range(most + 1):
         if o:
             before = before + (back[:, o - 1].astype(np.uint64) + np.uint64(1)) * factor[o - 1]
         own = np.flatnonzero((lefts >= o) & (lefts - windows + 1 <= o))
         keys.append(mixed(after[o][own] ^ (mixed(before[own]) + base[own] + np.uint64(o * 0xBF58476D1CE4E5B9 % (1 << 64)))))
         entry.append(own)
-        place.append(first[own] + lefts[own] - o)
-    keys, entry, place = np.concatenate(keys), np.concatenate(entry), np.concatenate(place)
+        offset.append(np.full(len(own), o))
+    keys, entry, offset = np.concatenate(keys), np.concatenate(entry), np.concatenate(offset)
+    place = first[entry] + lefts[entry] - offset
     order = np.argsort(keys, kind="stable")
     new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-    least = np.minimum.reduceat(doc[entry[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
-    later = order[doc[entry[order]] > least]
+    number, docs = np.cumsum(new) - 1, doc[entry[order]]
+    least = np.minimum.reduceat(docs, np.flatnonzero(new))[number]
+    lowest = np.flatnonzero(docs == least)
+    earliest = order[lowest[np.searchsorted(lowest, np.flatnonzero(new))]]  # of each group
+    is_later = docs > least
+    later, source = order[is_later], earliest[number[is_later]]
+    differ = ~same_windows(grid, back, entry, offset, later, source, length)
+    if differ.any():  # a group of one hash holds different bytes
+        whole = lambda k: (int(group[entry[k]]), int(offset[k]), grid[entry[k], : length - offset[k]].tobytes(), back[entry[k], : offset[k]].tobytes())
+        mixed_up = np.isin(number, np.unique(number[is_later][differ]))
+        lowest_of: dict[tuple, int] = {}
+        for k in order[mixed_up].tolist():
+            lowest_of[whole(k)] = min(lowest_of.get(whole(k), int(doc[entry[k]])), int(doc[entry[k]]))
+        again = [k for k in order[mixed_up].tolist() if doc[entry[k]] > lowest_of[whole(k)]]
+        later = np.concatenate([order[is_later & ~mixed_up], np.array(again, np.int64)])
     if not len(later):
         return np.zeros((3, 0), np.int64)
     e, p = entry[later], place[later]
@@ -349,97 +384,132 @@ def merged_marks(blocks: list[bytes], length: int = LENGTH, gram: int = GRAM, ba
         yield flush()
 
 
+def digest(text: Column) -> Column:
+    return F.substring(F.sha2(text, 256), 1, 32)
+
+
 def originals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with ``doc``, ``text`` and ``copy``: whether a smaller id has the same text; and the repeated texts."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", digest(F.col("text")))
     again = cut(own.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("__most")).where("least < __most").select("digest", "least"))
     return own.join(bounded_broadcast(again, 300_000), "digest", "left").select("doc", "text", F.coalesce(F.col("doc") > F.col("least"), F.lit(False)).alias("copy")), again
 
 
-def repeated_anchors(own: DataFrame, length: int, gram: int, bits: int, ranges: int) -> tuple[np.ndarray, list[bytes]]:
-    """A bitmap of the anchors' hashes that two documents hold, and splitters between ``ranges`` ranges of suffixes."""
-    step = 40 - (ranges - 1).bit_length()
+def blocks(own: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
+    """(block, data): documents (doc, text) packed together."""
 
     def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sample: list[tuple[int, bytes]] = []
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush() -> pd.DataFrame:
-            h, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            # What is known to be repeated already is sent twice.
-            times = 1 + (np.minimum.reduceat(doc, edge) < np.maximum.reduceat(doc, edge))
-            h = np.repeat(h[edge], times)
-            edges = np.searchsorted((h >> np.uint64(step)).astype(np.int64), np.arange(ranges + 1))
-            own = [r for r in range(ranges) if edges[r] < edges[r + 1]]
-            return pd.DataFrame({"range": own, "payload": [five(h[edges[r] : edges[r + 1]]) for r in own]})
+        from pyspark import TaskContext
 
+        ids, texts, size, seq, first = [], [], 0, 0, TaskContext.get().partitionId() << 32
+        for pdf in batches:
+            for doc, text in zip(pdf["doc"].tolist(), pdf["text"], strict=True):
+                ids.append(doc)
+                texts.append(text.encode())
+                size += len(texts[-1])
+                if size >= limit:
+                    yield pd.DataFrame({"block": [first + seq], "data": [packed(pickle.dumps((ids, texts)))]})
+                    ids, texts, size, seq = [], [], 0, seq + 1
+        if ids:
+            yield pd.DataFrame({"block": [first + seq], "data": [packed(pickle.dumps((ids, texts)))]})
+
+    return own.select("doc", "text").mapInPandas(op, "block long, data binary")
+
+
+class Block:
+    """The anchors of a block's documents, and the distinct hashes of what they hold to either side."""
+
+    def __init__(self, data: bytes, length: int, gram: int):
+        ids, texts = pickle.loads(unpacked(data))
+        self.slices = [(Anchors(parts, length, gram), parts, [ids[k] for k in of], offset) for parts, of, offset in cut_long(texts, length)]
+        sides = [(h[has], np.array(ids, np.int64)[x.text][has]) for x, _, ids, _ in self.slices for h, has in ((x.right, x.has_right), (x.left, x.has_left))]
+        every = np.concatenate([h for h, _ in sides]) if sides else np.zeros(0, np.uint64)
+        self.order = np.argsort(every)
+        held = every[self.order]
+        self.first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, np.int64)
+        self.hashes, self.docs = held[self.first], np.concatenate([d for _, d in sides])[self.order] if sides else np.zeros(0, np.int64)
+
+    def twice(self) -> np.ndarray:
+        """Whether two documents of the block hold a hash."""
+        return np.minimum.reduceat(self.docs, self.first) < np.maximum.reduceat(self.docs, self.first) if len(self.first) else np.zeros(0, bool)
+
+    def hits(self, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each slice whether the hash to the right and to the left of an anchor is marked."""
+        marked = np.empty(len(self.order), bool)
+        marked[self.order] = np.repeat(bits, np.diff(np.append(self.first, len(self.order))))
+        at = 0
+        for x, *_ in self.slices:
+            out = []
+            for has in (x.has_right, x.has_left):
+                side, n = np.zeros(len(has), bool), int(has.sum())
+                side[has] = marked[at : at + n]
+                at += n
+                out.append(side)
+            yield out[0], out[1]
+
+
+def repeated_anchors(held: DataFrame, length: int, gram: int, parts: int, anchors: int) -> tuple[DataFrame, list[bytes]]:
+    """(block, back): for each block the parts of its bits, one for each hash: whether two documents hold it; and some ``SAMPLE`` anchor strings, sorted."""
+    step = np.uint64(40 - (parts - 1).bit_length())
+    # Some SAMPLED_BLOCKS blocks name the splitters; results don't depend on them.
+    every = max(1, held.count() // SAMPLED_BLOCKS)
+    share = min(1.0, SAMPLE * every / max(1, anchors))
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            data, ids = [t.encode() for t in pdf["text"]], pdf["doc"].to_numpy()
-            for parts, of, _ in cut_long(data, length):
-                x = Anchors(parts, length, gram)
-                if not len(x.at):
-                    continue
-                rank = mixed(x.right) >> np.uint64(1)
-                sample += [(int(rank[k]), x.data[x.at[k] : x.at[k] + gram].tobytes()) for k in np.argsort(rank, kind="stable")[:200]]
-                sample = sorted(set(sample))[:2000]
-                doc = ids[np.array(of)][x.text]
-                held.append((np.concatenate([x.right[x.has_right], x.left[x.has_left]]), np.concatenate([doc[x.has_right], doc[x.has_left]])))
-                if sum(len(x) for x, _ in held) >= HELD:
-                    yield flush()
-        if held:
-            yield flush()
-        if sample:
-            yield pd.DataFrame({"range": [-1], "payload": [b"".join(k.to_bytes(8, "big") + s for k, s in sample)]})
-
-    slice_bits = max(3, bits - (ranges - 1).bit_length())
+            for block, data in zip(pdf["block"], pdf["data"], strict=True):
+                own = Block(data, length, gram)
+                twice, at = own.twice(), np.searchsorted((own.hashes >> step).astype(np.int64), np.arange(parts + 1))
+                some = [r for r in range(parts) if at[r] < at[r + 1]]
+                payload = [len(h).to_bytes(4, "big") + packed(np.packbits(t).tobytes() + planes(h)) for h, t in ((own.hashes[at[r] : at[r + 1]], twice[at[r] : at[r + 1]]) for r in some)]
+                yield pd.DataFrame({"part": some, "block": block, "payload": payload})
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = int(pdf["range"].iloc[0])
-        if r < 0:
-            size = 8 + gram
-            rows = sorted({p[i : i + size] for p in pdf["payload"] for i in range(0, len(p), size)})[:SAMPLE]
-            strings = sorted(x[8:] for x in rows)
-            return pd.DataFrame({"range": [r], "slice": [b"".join(strings[len(strings) * k // ranges] for k in range(1, ranges))]})
-        h = np.sort(np.concatenate([unfive(p) for p in pdf["payload"]]))
-        again = h[1:][h[1:] == h[:-1]]
-        mark = np.zeros(1 << slice_bits, bool)
-        mark[((again & np.uint64((1 << step) - 1)) >> np.uint64(max(0, step - slice_bits))).astype(np.int64)] = True
-        return pd.DataFrame({"range": [r], "slice": [np.packbits(mark).tobytes()]})
-
-    rows = own.where("not copy").select("doc", "text").mapInPandas(op, "range int, payload binary").groupBy("range").applyInPandas(gather, "range int, slice binary").collect()  # 2 ** bits bits and ranges - 1 strings
-    bitmap, splitters = np.zeros((ranges, (1 << slice_bits) // 8), np.uint8), []
-    for r in rows:
-        if r["range"] < 0:
-            splitters = [bytes(r["slice"][i : i + gram]) for i in range(0, len(r["slice"]), gram)]
-        else:
-            bitmap[r["range"]] = np.frombuffer(bytes(r["slice"]), np.uint8)
-    return bitmap.ravel(), splitters
-
-
-def repeats(own: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = BITMAP_BITS, run: int = RUN) -> DataFrame:
+        got = []
+        for p in pdf["payload"]:
+            n, raw = int.from_bytes(p[:4], "big"), unpacked(p[4:])
+            got.append((unplanes(raw[-(-n // 8) :]), np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8)), count=n).astype(bool)))
+        h, twice = np.concatenate([x for x, _ in got]), np.concatenate([t for _, t in got])
+        order = np.argsort(h)
+        first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        times = np.diff(np.append(first, len(h)))
+        mark = np.empty(len(h), bool)
+        mark[order] = np.repeat((times > 1) | np.logical_or.reduceat(twice[order], first), times)
+        at = np.cumsum([0, *[len(x) for x, _ in got]])
+        back = [packed(np.packbits(mark[i:j]).tobytes()) for i, j in zip(at, at[1:], strict=False)]
+        return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "n": np.diff(at), "back": back})
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for data in pdf["data"]:
+                for x in (Anchors(parts, length, gram) for parts, _, _ in cut_long(pickle.loads(unpacked(data))[1], length)):
+                    some = np.flatnonzero((mixed(x.right) >> np.uint64(11)).astype(np.float64) < share * float(1 << 53)) if len(x.at) else ()
+                    if len(some):
+                        yield pd.DataFrame({"s": sorted({x.data[x.at[k] : x.at[k] + gram].tobytes() for k in some})})
+
+    sample = [bytes(r["s"]) for r in held.where(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).mapInPandas(pick, "s binary").distinct().limit(4 * SAMPLE).collect()]
+    back = cut(held.mapInPandas(send, "part long, block long, payload binary").groupBy("part").applyInPandas(gather, "block long, part long, n long, back binary"))
+    return back.groupBy("block").agg(F.collect_list(F.struct("part", "n", "back")).alias("back")), sorted(sample)
+
+
+def repeats(own: DataFrame, length: int = LENGTH, gram: int = GRAM, run: int = RUN, block: int = BLOCK_BYTES, part: int = PART_BYTES) -> DataFrame:
     """(doc, start, end): byte ranges of originals that strings of earlier documents cover."""
     spark = own.sparkSession
-    # Several ranges for each partition even their sizes out.
-    ranges = 2 << max(4, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    bitmap, splitters = repeated_anchors(own, length, gram, bits, ranges)
-    shared = spark.sparkContext.broadcast((bitmap, splitters))
-    bits = len(bitmap).bit_length() + 2
+    own = own.where("not copy").select("doc", "text")
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    ranges = 1 << max(6, (size // part).bit_length())
+    held = cut(blocks(own, block))
+    back, sample = repeated_anchors(held, length, gram, ranges, size // 15)
+    splitters = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if sample else []
+    shared = spark.sparkContext.broadcast(splitters)  # ranges - 1 strings of `gram` bytes
 
     def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from bisect import bisect_left
 
-        bitmap, splitters = shared.value
+        splitters = shared.value
         entries: list[tuple] = []
         number = 0
 
-        def hits(h: np.ndarray) -> np.ndarray:
-            bit = (h >> np.uint64(40 - bits)).astype(np.int64)
-            return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
-
         def flush() -> Iterator[pd.DataFrame]:
             nonlocal entries, number
             entries.sort()
@@ -462,22 +532,23 @@ def repeats(own: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int =
             entries = []
 
         for pdf in batches:
-            data, ids = [t.encode() for t in pdf["text"]], pdf["doc"].tolist()
-            for parts, of, offset in cut_long(data, length):
-                x = Anchors(parts, length, gram)
-                if not len(x.at):
-                    continue
-                right, left = x.has_right & hits(x.right), x.has_left & hits(x.left)
-                # Windows on a side that no other document shares are left out.
-                first = np.where(left, x.first, np.maximum(x.first, x.at - x.half))
-                last = np.where(right, x.last, np.minimum(x.last, x.at - x.half))
-                own = np.flatnonzero((right | left) & (first <= last))
-                whole = x.data.tobytes()
-                starts = np.cumsum([0, *map(len, parts)])
-                for t, p, q, at in zip(x.text[own].tolist(), first[own].tolist(), last[own].tolist(), x.at[own].tolist(), strict=True):
-                    entries.append((whole[at : q + length], whole[p:at], ids[of[t]], p - int(starts[t]) + offset[t], q - p + 1))
-                if len(entries) >= run:
-                    yield from flush()
+            for data, back in zip(pdf["data"], pdf["back"], strict=True):
+                whole_block = Block(data, length, gram)
+                bits = [np.unpackbits(np.frombuffer(unpacked(r["back"]), np.uint8), count=r["n"]) for r in sorted(back, key=lambda r: r["part"])] if back is not None else []
+                marked = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+                for (x, parts, ids, offset), (right, left) in zip(whole_block.slices, whole_block.hits(marked), strict=True):
+                    if not len(x.at):
+                        continue
+                    # Windows on a side that no other document shares are left out.
+                    first = np.where(left, x.first, np.maximum(x.first, x.at - x.half))
+                    last = np.where(right, x.last, np.minimum(x.last, x.at - x.half))
+                    own = np.flatnonzero((right | left) & (first <= last))
+                    whole = x.data.tobytes()
+                    starts = np.cumsum([0, *map(len, parts)])
+                    for t, p, q, at in zip(x.text[own].tolist(), first[own].tolist(), last[own].tolist(), x.at[own].tolist(), strict=True):
+                        entries.append((whole[at : q + length], whole[p:at], ids[t], p - int(starts[t]) + offset[t], q - p + 1))
+                    if len(entries) >= run:
+                        yield from flush()
         if entries:
             yield from flush()
 
@@ -487,7 +558,7 @@ def repeats(own: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int =
             return pd.DataFrame(rows, columns=["doc", "start", "end"])
         return pd.concat(list(merged_marks(list(pdf["payload"]), length, gram)), ignore_index=True)
 
-    return own.where("not copy").select("doc", "text").mapInPandas(op, "range int, payload binary").groupBy("range").applyInPandas(gather, "doc long, start long, end long")
+    return held.join(back, "block", "left").mapInPandas(op, "range int, payload binary").groupBy("range").applyInPandas(gather, "doc long, start long, end long")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, full: bool = False, **options) -> DataFrame:
@@ -495,7 +566,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, full: bool = False, **options)
     small_batches(docs.sparkSession)
     own, again = originals(docs)
     marks = repeats(own, length, **options).groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", digest(F.col("text")))
     rows = rows.join(bounded_broadcast(again, 300_000), "digest", "left").select("doc_id", "doc", "text", F.coalesce(F.col("doc") > F.col("least"), F.lit(False)).alias("copy"))
     met = rows.join(marks, "doc", "left").select("doc_id", "text", "copy", "starts", "ends")
     kind = docs.schema["doc_id"].dataType.simpleString()
