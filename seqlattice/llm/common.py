@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 #: White space that separates words, as a Java regex class: space and 0x09-0x0D.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -41,33 +42,40 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is set (tests)."""
+    """The cluster's checkpoint folder; a folder of our own only on a single machine where none is set (tests)."""
     sc = spark.sparkContext
     jsc = sc._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         given = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not given and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="seqlattice-checkpoint-"))
     return jsc.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that lost executors lose nothing of it."""
+    """Materialise in the shared folder, so that lost executors lose nothing of it; what was exchanged for it is deleted."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, made under this setting
 
 
 @contextmanager
-def many_small_steps(spark: SparkSession):
-    """Without whole-stage code generation: for chains of short jobs, whose classes would cost more than they save."""
-    key = "spark.sql.codegen.wholeStage"
+def setting(spark: SparkSession, key: str, value: str):
+    """A session's setting for a while."""
     before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def many_small_steps(spark: SparkSession):
+    """Without whole-stage code generation: for chains of short jobs, whose classes would cost more than they save."""
+    return setting(spark, "spark.sql.codegen.wholeStage", "false")
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """A broadcast hint where a count proves that the rows are few; else Spark's own choice of join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
@@ -78,6 +86,11 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % n
 
 
+def held_out(doc_id: str, n: int, remainder: int) -> Column:
+    """Whether the id is of this fold; false without an id, whose rows are never learned from."""
+    return F.coalesce(fold(doc_id, n) == remainder, F.lit(False))
+
+
 def fold_of(doc_id: int, n: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % n
 
@@ -94,6 +107,22 @@ def slices(sizes: list[int], limit: int):
         yield i, len(sizes)
 
 
+def map_texts(docs: DataFrame, columns: list[str] | tuple[str, ...], results: str, op) -> DataFrame:
+    """``mapInPandas`` over the texts (``__text``) of ``docs`` beside the named columns.
+
+    ``op`` adds the columns that ``results`` declares; a named column that clashes
+    with one of them (case aside) gives way to it.  Whole numbers travel as text,
+    since pandas would make floats of them beside nulls.
+    """
+    made = StructType.fromDDL(results)
+    names = beside(list(columns), "__text", *made.names)
+    fields = [docs.schema[n] for n in names]
+    long = [isinstance(f.dataType, LongType) for f in fields]
+    sent = docs.select(*[F.col(q).cast("string").alias(n) if x else F.col(q) for q, n, x in zip(quoted(names), names, long, strict=True)], F.col("text").alias("__text"))
+    out = sent.mapInPandas(op, StructType(sent.schema.fields[:-1] + made.fields))
+    return out.select(*[F.col(q).cast("long").alias(n) if x else F.col(q) for q, n, x in zip(quoted(names), names, long, strict=True)], *quoted(made.names))
+
+
 def quoted(names: list[str] | tuple[str, ...]) -> list[str]:
     """Names as column references, also where they hold dots."""
     return ["`" + n.replace("`", "``") + "`" for n in names]

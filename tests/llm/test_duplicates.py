@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqlattice.llm import graph, line_dedup, minhash, shingles, suffix_dedup
+from seqlattice.llm import frequencies, graph, line_dedup, minhash, shingles, suffix_dedup
 from seqlattice.llm.common import cut
 
 
@@ -46,7 +46,7 @@ def test_suffixes(spark, rows):
 
 
 def test_suffixes_in_short_runs_and_small_slices(spark, rows, monkeypatch):
-    check_suffix(spark, [r for r in rows if len(r[1] or "") < 5000], run=150, bits=12)
+    check_suffix(spark, [r for r in rows if len(r[1] or "") < 5000], run=150, block=3000, part=500)
     parts = list(suffix_dedup.cut_long([b"x" * 1000, b"y" * 30, b"z" * 470], 50, most=200))
     windows = sum(max(0, len(p) - 49) for ps, _, _ in parts for p in ps)
     assert windows == 951 + 0 + 421
@@ -62,6 +62,16 @@ def test_suffixes_of_adversarial_texts(spark):
     check_suffix(spark, rows)
 
 
+def test_windows_of_one_hash_are_told_apart(spark, rows, monkeypatch):
+    mixed = suffix_dedup.mixed
+    monkeypatch.setattr(suffix_dedup, "mixed", lambda x: mixed(x) & np.uint64(0xFFFF_FF00_0000_00FF))  # many hashes of windows are equal
+    right, left, n = [b"x" * 60 + b"%040d" % k for k in range(300)], [b"y" * 10] * 300, 300
+    found = suffix_dedup.marks_of(right, left, np.arange(n), np.zeros(n, np.int64), np.full(n, 11), np.zeros(n, np.int64))
+    monkeypatch.setattr(suffix_dedup, "mixed", mixed)
+    want = suffix_dedup.marks_of(right, left, np.arange(n), np.zeros(n, np.int64), np.full(n, 11), np.zeros(n, np.int64))
+    assert (found == want).all() and len(want[0]) == 299
+
+
 def test_empty_table(spark, empty):
     assert suffix_dedup.dedup(empty).count() == 0 and line_dedup.dedup(empty).count() == 0 and minhash.near_duplicates(empty).count() == 0 and minhash.keep_first(empty).count() == 0
 
@@ -79,7 +89,7 @@ def test_merge_is_a_sort():
 
 def test_anchor_hashes_round_trip():
     h = np.sort(np.random.default_rng(0).integers(0, 1 << 40, 999).astype(np.uint64))
-    assert (suffix_dedup.unfive(suffix_dedup.five(h)) == h).all()
+    assert (suffix_dedup.unplanes(suffix_dedup.planes(h)) == h).all()
     data = np.frombuffer(b"abcabcabc" * 9, np.uint8)
     for n in (1, 3, 20, 50):
         x = suffix_dedup.rolling(data, n)
@@ -170,6 +180,21 @@ def test_words():
     assert all(len(s) == (max(1, n - 4) if n else 0) for s, n in zip(sets, counts.tolist(), strict=True))
 
 
+def alike(a, b):
+    """Weighted Jaccard similarity of two weighted sets, by dictionaries."""
+    x, y = (dict(zip(s[0].tolist(), s[1].tolist(), strict=True)) for s in (a, b))
+    both = sum(min(w, y.get(f, 0)) for f, w in x.items())
+    return both / (sum(x.values()) + sum(y.values()) - both)
+
+
+def weighted(data):
+    """The weighted sets of texts, by true frequencies."""
+    runs = [collections.Counter(s.tolist()) for s in shingles.shingle_hashes(data)]
+    n, df = sum(bool(r) for r in runs), collections.Counter(f for r in runs for f in r)
+    idf = lambda f: minhash.inverse_frequencies(np.array([df[f]]), n)[0]
+    return [(np.array(sorted(r), np.uint64), np.array([r[f] * idf(f) for f in sorted(r)], np.float32)) for r in runs]
+
+
 def test_samples_estimate_the_weighted_similarity():
     r = np.random.default_rng(1)
     errors = []
@@ -181,18 +206,13 @@ def test_samples_estimate_the_weighted_similarity():
         wa, wb = r.uniform(1, 6, len(a)).astype(np.float32), r.uniform(1, 6, len(b)).astype(np.float32)
         wb[np.isin(b, a)] = wa[np.isin(a, b)] * r.choice([1, 1, 1, 2], np.isin(b, a).sum())
         s = minhash.sample_sets(np.concatenate([a, b]), np.concatenate([wa, wb]), np.array([0, len(a)]), samples=900)
-        errors.append((s[0] == s[1]).mean() - minhash.similarity((a, wa), (b, wb)))
+        errors.append((s[0] == s[1]).mean() - alike((a, wa), (b, wb)))
     assert np.abs(errors).max() < 0.06
 
 
 def brute_classes(rows):
     data = [(t or "").encode() for _, t, *_ in rows]
-    df, n = np.zeros(1 << minhash.BITS, np.int64), 0
-    for s in shingles.shingle_hashes(data):
-        if len(s):
-            n += 1
-            df[np.unique((s >> np.uint64(64 - minhash.BITS)).astype(np.int64))] += 1
-    sets = minhash.weighted_sets(data, minhash.inverse_frequencies(df, n))
+    sets = weighted(data)
     up = list(range(len(rows)))
 
     def find(x):
@@ -203,7 +223,7 @@ def brute_classes(rows):
     for i in range(len(rows)):
         for j in range(i):
             a, b = rows[i][1], rows[j][1]
-            if a is not None and b is not None and (a == b or len(sets[i][0]) and len(sets[j][0]) and minhash.similarity(sets[i], sets[j]) >= 0.8):
+            if a is not None and b is not None and (a == b or len(sets[i][0]) and len(sets[j][0]) and alike(sets[i], sets[j]) >= 0.8):
                 up[find(i)] = find(j)
     groups = collections.defaultdict(list)
     for i in range(len(rows)):
@@ -234,29 +254,78 @@ def test_sketches_bound_the_similarity():
     held = minhash.unsketch([minhash.sketch(*x) for x in sets])
     for k in range(0, len(sets), 2):
         a, b = ((held[0][i : i + 1], held[1][i : i + 1]) for i in (k, k + 1))
-        assert minhash.possible(a, b, minhash.similarity(sets[k], sets[k + 1])).all()
+        assert minhash.possible(a, b, alike(sets[k], sets[k + 1])).all()
     assert not minhash.possible((held[0][:1], held[1][:1]), (held[0][1:2], held[1][1:2]), 0.8).any()
 
 
-@pytest.mark.parametrize("small", [256, 2])
-def test_near_duplicates(spark, rows, docs, small):
-    got = sorted((order(r.doc_id), order(r.class_id), r.class_size) for r in minhash.near_duplicates(docs, small=small).collect())
+def check_classes(docs, rows):
+    got = sorted((order(r.doc_id), order(r.class_id), r.class_size) for r in minhash.near_duplicates(docs).collect())
     assert got == brute_classes(rows)
 
 
-def test_one_of_each_class_stays(docs, wide):
-    classes = {r.class_id for r in minhash.near_duplicates(docs).where("doc_id is not null").collect()}
+def test_near_duplicates(spark, rows, docs):
+    check_classes(docs, rows)
+
+
+def test_a_dense_group_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CELL", 4)
+    monkeypatch.setattr(minhash, "PAIRS", 3)
+    monkeypatch.setattr(frequencies, "PART", 50)
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for k in range(120):  # similarities on either side of the threshold
+        words = list(base)
+        for _ in range(r.randrange(0, 7)):
+            words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+        rows.append((k, " ".join(words + r.choice([[], base[:30]]))))
+    assert 10 < len({c for _, c, _ in brute_classes(rows)}) < 110
+    check_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows)
+
+
+def test_one_of_each_class_stays(docs, rows, wide):
+    found = minhash.near_duplicates(docs, columns=("doc_id", "text")).collect()
     kept = minhash.keep_first(wide)
     assert kept.columns == wide.columns
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    assert sorted(ids) == sorted(classes) and kept.where("doc_id is null").count() == 2
+    assert sorted(ids) == sorted({r.class_id for r in found if r.class_id is not None})
+    assert kept.where("doc_id is null").count() == len({r.text for r in found if r.class_id is None})
+    copies = docs.sparkSession.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, None), (None, None), (4, "x y"), (3, "x y"), (3, "x y"), (None, "x y")], "doc_id long, text string")
+    assert sorted(minhash.keep_first(copies).collect(), key=str) == sorted([(None, "a b c d e f"), (None, None), (None, None), (3, "x y")], key=str)
 
 
 def test_packed_sets():
     f = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 50).astype(np.uint64) >> np.uint64(24) << np.uint64(24))
-    idf = np.linspace(1, 2, 1 << 8).astype(np.float32)
-    got = minhash.unpack_set(minhash.pack_set(f, np.arange(1, len(f) + 1)), idf)
-    assert (got[0] == f >> np.uint64(24)).all() and got[1] == pytest.approx(np.arange(1, len(f) + 1) * idf[(f >> np.uint64(56)).astype(int)])
+    n, df = np.arange(1, len(f) + 1), np.arange(len(f), 0, -1)
+    got = minhash.Packed(minhash.Packed.of(f, n, df), 100)
+    assert (got.shingles == f).all() and got.weights == pytest.approx(n * minhash.inverse_frequencies(df, 100)) and got.similarity(got) == 1
+    assert len(got.levels()) == n.sum() == len(set(got.levels().tolist()))
+    assert got.weight * 0.2 < got.weights[np.isin(f, got.prefix(0.8))].sum() + got.weights[-1]
+
+
+def test_shared_weights():
+    r = random.Random(3)
+    sets = weighted([" ".join(r.choice("abc") for _ in range(r.randrange(5, 60))).encode() for _ in range(30)])
+    df = collections.Counter(f for s, _ in sets for f in s.tolist())
+    times = [(s, np.rint(w / minhash.inverse_frequencies(np.array([df[f] for f in s.tolist()]), 30)).astype(int)) for s, w in sets]
+    held = [minhash.Packed(minhash.Packed.of(s, n, np.array([df[f] for f in s.tolist()])), 30) for s, n in times]
+    got = minhash.shared_weights(held[:10], held[10:], columns=7)
+    for i, j in ((0, 0), (3, 7), (9, 19)):
+        a, b = sets[i], sets[10 + j]
+        both = sum(min(w, dict(zip(b[0].tolist(), b[1].tolist(), strict=True)).get(f, 0)) for f, w in zip(a[0].tolist(), a[1].tolist(), strict=True))
+        assert got[i, j] == pytest.approx(both, rel=1e-4) and held[i].similarity(held[10 + j]) == pytest.approx(alike(a, b), rel=1e-4)
+
+
+def test_true_frequencies(docs, rows):
+    frame, n = frequencies.framed(docs.where("text is not null").select(F.md5("text").alias("node"), "text"), limit=5000, part=100)
+    runs = [set(s.tolist()) for s in shingles.shingle_hashes([t.encode() for _, t, *_ in rows if t is not None])]
+    df = collections.Counter(f for s in runs for f in s)
+    seen = 0
+    for block in frame.collect():
+        for _, f, _, own in frequencies.counted(block.data, block.back):
+            assert [df[x] for x in f.tolist()] == own.tolist()
+            seen += 1
+    assert n == sum(map(bool, runs)) and seen >= len({t for _, t, *_ in rows if t is not None})
 
 
 def test_components(spark):
