@@ -1,18 +1,24 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text is cut at ASCII white space (and, in longer pieces, every ``PIECE``
-bytes) into byte sequences.  Two gated recurrent units run over each sequence,
-one from either end; a softmax of both states labels every byte position.  A
-document's probability of a language is the mean over all of its positions.
-The state starts anew in each sequence, so equal sequences have equal labels
-and a task runs the network once for each distinct sequence of a batch.
+Two gated recurrent units run over a text's bytes, one from either end; a
+softmax of both states labels every byte position.  A document's probability
+of a language is the mean over all of its positions.
 
-The network is trained here, in numpy, by backpropagation through time, from
-at most ``DOCS_PER_LANG`` documents of each language (chosen by a hash of the
-id) and at most ``BYTES_PER_LANG`` of their bytes.
+Texts are run in windows of ``WINDOW`` positions, many at a time.  Each window is
+read from ``WARM`` bytes before it and from ``WARM`` bytes behind it, so the state
+is carried through words and white space and is warm where a position is
+labelled; the states forget so fast that the labels are those of one pass over
+the whole text but for a small difference (a test bounds it).
+
+The network is trained here, in numpy, by backpropagation through time over
+stretches of ``STRETCH`` bytes, from at most ``DOCS_PER_LANG`` documents of each
+language (chosen by a hash of the id) and at most ``BYTES_PER_LANG`` of their
+bytes.
 
 Defined results: ``und`` with score 0 for a null text, for one without a letter
-and where nothing could be learned; repeated rows give repeated results.
+and where nothing could be learned; rows without an id are labelled and never
+learned from; repeated rows give repeated results; of the columns asked for,
+those named lang_pred or score (case aside) give way to the results.
 """
 
 from __future__ import annotations
@@ -24,21 +30,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, slices, small_batches
+from .common import bounded_broadcast, map_texts, ship, slices, small_batches
 
 ship(__name__)
 
-HIDDEN, PIECE = 8, 24
-DOCS_PER_LANG, BYTES_PER_LANG = 200, 150_000
-TABLE_ROWS = 400_000
-SLICE_BYTES = 4_000_000
+HIDDEN = 8
+WINDOW, WARM, STRETCH = 256, 32, 64
+DOCS_PER_LANG, BYTES_PER_LANG, BYTES_PER_DOC = 200, 150_000, 20_000
+AT_ONCE = 2048
+SLICE_BYTES = 2_000_000
 
 
-def pieces(data: bytes, most: int = PIECE) -> list[bytes]:
-    words = data.split()
-    if max(map(len, words), default=0) <= most:
-        return words
-    return [w[i : i + most] for w in words for i in range(0, len(w), most)]
+def stretches(data: bytes, size: int = STRETCH) -> list[bytes]:
+    return [data[i : i + size] for i in range(0, len(data), size)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -98,13 +102,14 @@ class Network:
         d_out[:, np.arange(b), y] -= 1
         d_out /= t * b
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
+        places = np.arange(3 * h)
         g["V"] = np.einsum("tbh,tbl->hl", both, d_out)
         g["c"] = d_out.sum((0, 1))
         d_both = d_out @ self.p["V"].T
         for d, run in runs.items():
             u = self.p[f"U{d}"]
             d_states = d_both[:, :, :h] if d == "f" else d_both[::-1, :, h:]
-            ds = np.zeros((b, h), np.float32)
+            ds, every = np.zeros((b, h), np.float32), np.zeros((t, b, 3 * h))
             for k in range(t - 1, -1, -1):
                 s, z, reset, n, rn = kept[d][1][k]
                 ds = ds + d_states[k]
@@ -113,10 +118,12 @@ class Network:
                 dr = dn * rn * reset * (1 - reset)
                 da = np.concatenate([dz, dr, dn], axis=1)
                 du = np.concatenate([dz, dr, dn * reset], axis=1)
-                np.add.at(g[f"W{d}"], run[k], da)
-                g[f"b{d}"] += da.sum(0)
+                every[k] = da
                 g[f"U{d}"] += s.T @ du
                 ds = ds * z + du @ u.T
+            g[f"b{d}"] += every.sum((0, 1))
+            at = (run.astype(np.int64)[:, :, None] * (3 * h) + places).ravel()
+            g[f"W{d}"] += np.bincount(at, every.ravel(), 256 * 3 * h).reshape(256, 3 * h)
         return float(loss), g
 
 
@@ -126,7 +133,7 @@ def fit(samples: dict[str, list[str]], epochs: int = 4, batch: int = 128, rate:
     langs = sorted(samples)
     by_length: dict[int, list[tuple[bytes, int]]] = {}
     for y, lang in enumerate(langs):
-        own = [p for t in samples[lang] for p in pieces(t.encode())]
+        own = [p for t in samples[lang] for p in stretches(t.encode())]
         order = rng.permutation(len(own))
         ends = np.cumsum([len(own[k]) for k in order]) if own else np.zeros(0)
         for k in order[: int(np.searchsorted(ends, most))]:
@@ -154,53 +161,55 @@ def fit(samples: dict[str, list[str]], epochs: int = 4, batch: int = 128, rate:
     return net
 
 
-class Labeller:
-    """Pools the labels of all positions of texts; labels each distinct sequence once while the table holds it."""
-
-    def __init__(self, net: Network):
-        self.net, self.at, self.sums, self.used = net, {}, np.zeros((1024, len(net.langs)), np.float32), 0
-
-    def learn(self, new: list[bytes]) -> None:
-        if self.used + len(new) > len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros((max(len(self.sums), len(new)), self.sums.shape[1]), np.float32)])
-        by_length: dict[int, list[bytes]] = {}
-        for w in new:
-            by_length.setdefault(len(w), []).append(w)
-        for n, words in by_length.items():
-            for i in range(0, len(words), 4096):
-                part = words[i : i + 4096]
-                x = np.frombuffer(b"".join(part), np.uint8).reshape(len(part), n).T
-                self.sums[self.used : self.used + len(part)] = self.net.label(np.ascontiguousarray(x)).sum(0)
-                for w in part:
-                    self.at[w] = self.used
-                    self.used += 1
-
-    def pool(self, texts: list[bytes]) -> np.ndarray:
-        """Mean probabilities (texts, languages); zeros where a text has no position."""
-        parts = [pieces(t) for t in texts]
-        if self.used > TABLE_ROWS:
-            self.at, self.used = {}, 0
-        wanted: set[bytes] = set()
-        for p in parts:
-            wanted.update(p)
-        self.learn([w for w in wanted if w not in self.at])
-        out = np.zeros((len(texts), len(self.net.langs)))
-        for k, p in enumerate(parts):
-            if p:
-                out[k] = self.sums[list(map(self.at.__getitem__, p))].sum(0, dtype=np.float64) / sum(map(len, p))
+def windows(texts: list[bytes], size: int = WINDOW, warm: int = WARM) -> np.ndarray:
+    """(text, first byte read, first labelled, end of the labelled, end of the read) of each window, as places in the joined texts."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    n = -(-sizes // size)
+    text = np.repeat(np.arange(len(texts)), n)
+    lo = (ends - sizes)[text] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * size
+    hi = np.minimum(lo + size, ends[text])
+    return np.stack([text, np.maximum(lo - warm, (ends - sizes)[text]), lo, hi, np.minimum(hi + warm, ends[text])])
+
+
+def pool(net: Network, texts: list[bytes], size: int = WINDOW, warm: int = WARM) -> np.ndarray:
+    """Mean probabilities (texts, languages) over all positions; zeros where a text has none."""
+    out = np.zeros((len(texts), len(net.langs)))
+    found = windows(texts, size, warm)
+    if not found.shape[1]:
         return out
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    found = found[:, np.argsort(found[4] - found[1], kind="stable")]  # windows of about one length together
+    for i in range(0, found.shape[1], AT_ONCE):
+        text, begin, lo, hi, end = found[:, i : i + AT_ONCE]
+        length = end - begin
+        step = np.arange(length.max())[:, None]
+        behind = length - 1 - step  # the backward unit's step at each place, and the other way round
+        last = len(data) - 1
+        ahead = net.pass_over(data[np.minimum(begin + step, last)], "f")[0] @ net.p["V"][: net.h]
+        back = net.pass_over(data[np.clip(begin + behind, 0, last)], "b")[0] @ net.p["V"][net.h :]
+        e = np.exp(ahead + np.take_along_axis(back, np.maximum(behind, 0)[:, :, None], 0) + net.p["c"])
+        e /= e.sum(axis=2, keepdims=True)
+        e *= ((step >= lo - begin) & (step < hi - begin))[:, :, None]
+        np.add.at(out, text, e.sum(0, dtype=np.float64))
+    return out / np.maximum([len(t) for t in texts], 1)[:, None]
 
 
 def sample(docs: DataFrame, most: int = DOCS_PER_LANG) -> dict[str, list[str]]:
-    """At most ``most`` texts of each language, lowest hash of the id first; rows without text or lang don't count."""
-    ids = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    order = ("h", "doc_id")
+    """At most ``most`` texts of each language, lowest hash of the id first, and the first ``BYTES_PER_DOC`` characters of each; rows without text, lang or id don't count.
+
+    Of rows that repeat an id and language the least text counts.  The learner
+    reads no more than ``BYTES_PER_LANG`` bytes of a language, which bounds what comes
+    to the driver; the number of languages is that of distinct ``lang`` values.
+    """
+    rows = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     # A hot language is cut to its lowest hashes in many parts before its rows meet.
     for by in ([F.col("lang"), F.pmod("h", F.lit(64))], [F.col("lang")]):
-        ids = ids.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("k") <= most).drop("k")
-    chosen = F.broadcast(ids.select("doc_id", "lang"))  # at most `most` rows a language
+        rows = rows.withColumn("k", F.dense_rank().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("k") <= most).drop("k")
+    chosen = bounded_broadcast(rows.select("doc_id", "lang").distinct(), 200_000)  # at most `most` rows a language
+    texts = docs.where("text is not null").select("doc_id", F.substring("text", 1, BYTES_PER_DOC).alias("text"), "lang").join(chosen, ["doc_id", "lang"])
     out: dict[str, dict[int, str]] = {}
-    for r in docs.where("text is not null").select("doc_id", "text", "lang").join(chosen, ["doc_id", "lang"]).collect():
+    for r in texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect():
         out.setdefault(r.lang, {})[r.doc_id] = r.text
     return {k: [v[i] for i in sorted(v)] for k, v in out.items()}
 
@@ -208,25 +217,21 @@ def sample(docs: DataFrame, most: int = DOCS_PER_LANG) -> dict[str, list[str]]:
 def predict(docs: DataFrame, net: Network | None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row for each row of ``docs``: the given columns, lang_pred and score."""
     small_batches(docs.sparkSession)
-    picked = docs.select(*columns, F.col("text").alias("__text"))
-    if net is None:
-        return picked.select(*columns, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    weights, langs, hidden = net.p, net.langs, net.h
+    weights, langs, hidden = (net.p, net.langs, net.h) if net else ({}, [], 0)
 
     def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Network(langs, hidden)
-        own.p = weights
-        labeller = Labeller(own)
+        own = Network(langs, hidden) if langs else None
+        if own:
+            own.p = weights
         for pdf in batches:
             texts = ["" if t is None else t for t in pdf.pop("__text")]
-            known = np.array([any(map(str.isalpha, t)) for t in texts])
+            known = np.array([bool(langs) and any(map(str.isalpha, t)) for t in texts])
             data, best, score = [t.encode() for t in texts], np.zeros(len(texts), int), np.zeros(len(texts))
-            for i, j in slices([len(t) for t in data], SLICE_BYTES):
-                p = labeller.pool(data[i:j])
+            for i, j in slices([len(t) for t in data], SLICE_BYTES) if langs else ():
+                p = pool(own, data[i:j])
                 best[i:j], score[i:j] = p.argmax(1), p.max(1)
             pdf["lang_pred"] = [langs[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
             pdf["score"] = np.where(known, np.clip(score, 0, 1), 0.0)
             yield pdf
 
-    return picked.mapInPandas(op, f"{kept}, lang_pred string, score double")
+    return map_texts(docs, columns, "lang_pred string, score double", op)
