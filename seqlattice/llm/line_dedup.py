@@ -1,10 +1,11 @@
 """Line dedup: a line goes if an earlier line equals it up to one edit.
 
 Lines are the pieces between line feeds; their order is (doc_id, position).  A
-line of at least ``LEAST`` characters is removed if an earlier line, in any
-document, is within Levenshtein distance 1 of it (a character put in, taken
-out or changed).  Lines are judged on the input, not on what is left.  Shorter
-lines stay, or with ``short`` go if an earlier line equals them, but for blank ones.
+line that is not blank is removed if an earlier line, in any document, equals
+it.  A line of at least ``LEAST`` characters is also removed if an earlier line of
+at least as many is within Levenshtein distance 1 of it (a character put in,
+taken out or changed): in shorter lines one edit often makes another word.
+Lines are judged on the input, not on what is left.  Blank lines stay.
 
 The method is a deletion-neighbourhood join, and everything in it is a
 grouped minimum, so no group is ever paired with itself:
@@ -25,8 +26,9 @@ with ``levenshtein`` before the later line goes.
 
 Defined results: a null text has no lines and stays null; an empty text has one
 empty line; a null id comes first; rows that repeat an id share their positions,
-so equal lines at one position don't remove each other; columns of any name
-are kept, but for those that n_lines and n_removed replace.
+so equal lines at one position don't remove each other, and each such row loses
+only lines that it has itself; columns of any name are kept, but for those that
+n_lines and n_removed replace.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ def earlier(a: str, b: str) -> Column:
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, pos, line, n, h, g, at) of each line that counts; h and g are two hashes."""
-    split = docs.select(F.col("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("n", F.char_length("line")).where(F.col("n") >= least)
+    split = docs.select(F.col("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("n", F.char_length("line")).where((F.col("n") >= least) & F.col("line").rlike(NOT_SPACE))
     return split.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), F.col("line"))}).withColumn("at", place(F.col("doc_id"), F.col("pos"), F.col("h")))
 
 
@@ -84,7 +86,7 @@ def suspects(lines: DataFrame, id_: str, parts: int, keep: list[str]) -> DataFra
 
 
 def removed_lines(docs: DataFrame, least: int = LEAST, parts: int = PARTS) -> DataFrame:
-    """(doc_id, pos) of each line that goes, once."""
+    """(doc_id, pos, h) of each line of ``least`` characters that goes, once."""
     lines = lines_of(docs, least)
     # Halves first, on hashes alone; the few lines that share one are then looked at closely.
     half = near_parts(F.col("line"), F.col("n"), 2)
@@ -116,29 +118,32 @@ def removed_lines(docs: DataFrame, least: int = LEAST, parts: int = PARTS) -> Da
 
     marks = distinct.join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").where("times > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
     marks = cut(marks)
-    return lines.select("doc_id", "pos", "h", "g", "at").join(bounded_broadcast(marks, BROADCAST_ROWS), ["h", "g"]).where("near or at > first").select("doc_id", "pos").distinct()
+    return lines.select("doc_id", "pos", "h", "g", "at").join(bounded_broadcast(marks, BROADCAST_ROWS), ["h", "g"]).where("near or at > first").select("doc_id", "pos", "h").distinct()
 
 
 def removed_short_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, pos) of each line under ``least`` characters, but for blank ones, that an earlier line equals, once."""
-    lines = lines_of(docs, 1).where((F.col("n") < least) & F.col("line").rlike(NOT_SPACE)).select("doc_id", "pos", "h", "g", "at")
+    """(doc_id, pos, h) of each line under ``least`` characters that an earlier line equals, once."""
+    lines = lines_of(docs, 1).where(F.col("n") < least).select("doc_id", "pos", "h", "g", "at")
     marks = cut(lines.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"))
-    return lines.join(bounded_broadcast(marks, BROADCAST_ROWS), ["h", "g"]).where(earlier("first", "at")).select("doc_id", "pos").distinct()
+    return lines.join(bounded_broadcast(marks, BROADCAST_ROWS), ["h", "g"]).where(earlier("first", "at")).select("doc_id", "pos", "h").distinct()
 
 
-def dedup(docs: DataFrame, least: int = LEAST, parts: int = PARTS, short: bool = False) -> DataFrame:
-    """The rows of ``docs`` with what is left of their texts, and n_lines and n_removed; ``short``: equal short lines go too."""
-    removed = removed_lines(docs, least, parts)
-    if short:
-        removed = removed.unionByName(removed_short_lines(docs, least))
-    gone = removed.groupBy("doc_id").agg(F.collect_list("pos").alias("__gone")).select(F.col("doc_id").alias("__id"), "__gone")
+def mark(pos: Column, h: Column) -> Column:
+    """A line of a document by its position and 32 bits of its hash."""
+    return F.shiftleft(pos.cast("long"), 32).bitwiseOR(h.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def dedup(docs: DataFrame, least: int = LEAST, parts: int = PARTS) -> DataFrame:
+    """The rows of ``docs`` with what is left of their texts, and n_lines and n_removed."""
+    removed = removed_lines(docs, least, parts).unionByName(removed_short_lines(docs, least))
+    gone = removed.groupBy("doc_id").agg(F.collect_list(mark(F.col("pos"), F.col("h"))).alias("__gone")).select(F.col("doc_id").alias("__id"), "__gone")
     gone = cut(gone)
     size = gone.agg(F.coalesce(F.sum(F.size("__gone")), F.lit(0)).alias("n")).first()["n"]
     own = docs.select(F.struct(*quoted(docs.columns)).alias("__row"), F.col("doc_id").alias("__of"), F.split("text", "\n", -1).alias("__lines"))
     met = own.join(bounded_broadcast(gone, BROADCAST_ROWS) if size <= 4 * BROADCAST_ROWS else gone, F.col("__of").eqNullSafe(F.col("__id")), "left")
-    n = F.coalesce(F.size("__lines"), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), F.greatest(F.lit(1), F.size("__lines")) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col("__row.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
+    marks = F.transform("__lines", lambda line, i: mark(i, F.xxhash64(line)))
+    met = met.withColumn("__stay", F.when(F.col("__gone").isNotNull(), F.array_except(marks, F.col("__gone"))))
+    text = F.when(F.col("__stay").isNull(), F.col("__row.text")).otherwise(F.array_join(F.transform("__stay", lambda m: F.get("__lines", F.shiftright(m, 32).cast("int"))), "\n"))
     rest = [F.col(f"__row.{quoted([c])[0]}").alias(c) if c.lower() != "text" else text.alias(c) for c in beside(docs.columns, "n_lines", "n_removed")]
-    lines = F.when(F.col("__lines").isNull(), 0).otherwise(n).cast("long")
-    return met.select(*rest, lines.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    n = F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("long")
+    return met.select(*rest, n.alias("n_lines"), F.when(F.col("__stay").isNull(), 0).otherwise(F.size("__lines") - F.size("__stay")).cast("long").alias("n_removed"))

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, language_id, line_dedup, minhash, mixing, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, token_counts
-from .common import documents, fold, labels
+from .common import documents, fold, held_out, labels
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality_classifier.fit(*quality_classifier.sample(docs, labels(spark, sf_dir).where(fold("doc_id", 5) != 0)))
-    return quality_classifier.classify(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return quality_classifier.classify(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     net = language_id.fit(language_id.sample(docs.where(fold("doc_id", 4) != 2)))
-    return language_id.predict(docs, net).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return language_id.predict(docs, net).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,17 +88,18 @@ SELECT doc_id, len(t.x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_rem
   sha256(unhex(CASE WHEN q.k IS NULL THEN t.x ELSE b.x || substr(t.x, 2 * rest + 1) END)) AS kept_sha256
 FROM t LEFT JOIN q USING (k) LEFT JOIN b USING (k)""",
     "op5_line_dedup": f"""
-WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-x AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM s),
-d AS (SELECT line, length(line) AS n, min({{'d': coalesce(doc_id, -9223372036854775808), 'p': pos}}) AS at FROM x WHERE length(line) >= {line_dedup.LEAST} GROUP BY line),
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(doc_id, -9223372036854775808) AS id, string_split(text, chr(10)) AS l FROM documents),
+x AS (SELECT k, id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM t),
+e AS (SELECT line, length(line) AS n, min({{'d': id, 'p': pos}}) AS at FROM x WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY line),
+d AS (SELECT * FROM e WHERE n >= {line_dedup.LEAST}),
 near AS (SELECT DISTINCT a.line FROM d a JOIN d b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.at < a.at
   AND (left(a.line, least(a.n, b.n) // 2) = left(b.line, least(a.n, b.n) // 2) OR right(a.line, least(a.n, b.n) - least(a.n, b.n) // 2) = right(b.line, least(a.n, b.n) - least(a.n, b.n) // 2))
   AND levenshtein(a.line, b.line) <= 1),
-m AS (SELECT x.doc_id, x.pos, x.line, d.line IS NOT NULL AND (near.line IS NOT NULL OR d.at < {{'d': coalesce(x.doc_id, -9223372036854775808), 'p': x.pos}}) AS gone
-  FROM x LEFT JOIN d ON x.line = d.line LEFT JOIN near ON x.line = near.line)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id""",
+m AS (SELECT x.k, x.pos, x.line, e.line IS NOT NULL AND (near.line IS NOT NULL OR e.at < {{'d': x.id, 'p': x.pos}}) AS gone
+  FROM x LEFT JOIN e ON x.line = e.line LEFT JOIN near ON x.line = near.line)
+SELECT t.doc_id, count(m.k) AS n_lines, count(*) FILTER (WHERE m.gone) AS n_removed,
+  sha256(coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (WHERE NOT m.gone), '')) AS kept_sha256
+FROM t LEFT JOIN m ON t.k = m.k GROUP BY t.k, t.doc_id""",
     "op10_document_fingerprints": f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id NULLS FIRST, text), first(text) OVER (ORDER BY doc_id NULLS FIRST, text)) AS next FROM t),
