@@ -5,8 +5,9 @@ source's size, and what is over is shared again by weight (water-filling, in
 closed form).  Each source is dealt into blocks by a hash of the id, about
 ``BLOCKS`` over all sources, so blocks grow with the corpus and their number
 does not.  A source's mix is its permuted blocks, as many whole rounds as the
-target holds, then whole blocks of one more round, then documents of one more
-block up to the target.
+target holds, then whole blocks of one more round that fit, then documents that
+fit out of the next ``CUT_BLOCKS`` blocks, so that one too large doesn't end the mix,
+and the least one left if that comes nearer to the target.
 
 The draws of blocks are partitioned exactly among output shards: a tree halves
 the shards, and at each node the left half's share of every source is drawn
@@ -21,7 +22,7 @@ meet a table of blocks, whose size is bounded and checked.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; an empty table gives an empty mix; rows that repeat an id are
-drawn together, each with its own size; a column of ``docs`` with the name of a
+drawn together, each with its own size, and so are all rows without an id; a column of ``docs`` with the name of a
 result gives way to it in :func:`mix`, and :func:`mixed_rows` returns the columns
 of ``docs`` as they are.
 """
@@ -40,6 +41,8 @@ CAP = 3
 BLOCKS = 4096
 CELLS = 4096
 SHARDS = 64
+PASSES = 5
+CUT_BLOCKS = 16
 SEED = 17
 
 
@@ -130,7 +133,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """One row for each cell of each source: source, cell, source_size, target, rounds, rank, draws (shard of each draw) and the last hash that the cut draw takes."""
+    """One row for each block of each source: source, block, rank, source_size, target, rounds, shards (of each draw) and, if the last draw takes it in part, the passes of ``fill``."""
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sized = cut(docs.select("source", F.pmod(key, F.lit(CELLS)).alias("cell"), F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("h"), words().alias("size")))
     cells = cut(sized.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")))  # CELLS rows a source at most
@@ -143,9 +146,10 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sh
     of = cells.alias("a").join(bounded_broadcast(sources).alias("b"), same).select("b.*", "a.cell", "a.cell_size", F.expr(f"a.cell * b.n div {CELLS}").alias("block"))
     parts = of.groupBy("source", "i", "size", "target", "n", "rounds", "rest", "block").agg(F.sum("cell_size").alias("words")).coalesce(1)
     order = Window.partitionBy("i").orderBy(F.xxhash64(F.lit(seed + 2), "i", "block"), "block")
-    parts = parts.withColumn("rank", F.row_number().over(order) - 1).withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = parts.withColumn("part", F.when(F.col("upto") <= F.col("rest"), 1.0).when(F.col("upto") - F.col("words") < F.col("rest"), (F.col("rest") - F.col("upto") + F.col("words")) / F.col("words")).otherwise(0.0))
-    parts = cut(parts.withColumn("draws", F.col("rounds") + F.when(F.col("part") > 0, 1).otherwise(0)).withColumn("rank", F.row_number().over(order) - 1))
+    parts = fill(parts.withColumn("rank", F.row_number().over(order) - 1).withColumnRenamed("rest", "room"), ["i"], "rank", "words").drop("passes")
+    left = Window.partitionBy("i", "taken").orderBy("rank")
+    parts = parts.withColumn("cut", ~F.col("taken") & (F.col("room") > 0) & (F.row_number().over(left) <= CUT_BLOCKS))
+    parts = cut(parts.withColumn("draws", F.col("rounds") + F.when(F.col("taken") | F.col("cut"), 1).otherwise(0)))
     # Exact quotas of block draws, split among the shards.
     every = parts.groupBy("i").agg(F.sum("draws").alias("q")).agg(F.sort_array(F.collect_list(F.struct("i", "q"))).alias("l")).select(F.transform("l", lambda x: x["q"]).alias("quotas"))
     leaves = tree(every, shards, seed).select("shard", F.posexplode("quotas").alias("j", "q"))
@@ -156,14 +160,35 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sh
     blocked = blocked.withColumn("m", F.count("*").over(live))
     shard_of = lambda number: F.size(F.filter("ends", lambda e: e <= number))
     blocked = blocked.withColumn("shards", F.when(F.col("draws") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1), lambda r: shard_of(r * F.col("m") + F.col("rank")))).otherwise(F.array().cast("array<int>")))
-    # Where the last draw takes a part of its block only: the last hash that it takes.
-    split_ = blocked.where("part > 0 and part < 1").select("source", "block", "n", (F.col("part") * F.col("words")).alias("room"))
-    inside = sized.alias("a").join(bounded_broadcast(split_).alias("b"), same & (F.expr(f"a.cell * b.n div {CELLS}") == F.col("b.block"))).select("b.source", "b.block", "a.h", "a.size", "b.room")
-    upto = Window.partitionBy("source", "block").orderBy("h")
-    last = inside.withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") - F.col("size") / 2 <= F.col("room")).groupBy("source", "block").agg(F.max("h").alias("last"))
-    out = blocked.alias("a").join(bounded_broadcast(last).alias("b"), same & (F.col("a.block") == F.col("b.block")), "left")
-    out = out.select("a.source", "a.block", "a.n", F.col("a.size").alias("source_size"), "a.target", "a.rounds", "a.part", "a.shards", "b.last")
-    return cut(out)
+    # Documents of the blocks that the last draw takes in part.
+    split_ = blocked.where("cut").select("source", "i", "block", "n", "rank", "room")
+    inside = sized.alias("a").join(bounded_broadcast(split_).alias("b"), same & (F.expr(f"a.cell * b.n div {CELLS}") == F.col("b.block"))).select("b.i", "a.size", "b.room", F.struct("b.rank", "a.h").alias("at"))
+    last = fill(inside, ["i"], "at", "size", round_up=True).groupBy("i").agg(F.first("passes").alias("last"))
+    out = blocked.join(bounded_broadcast(last), "i", "left")
+    return cut(out.select("source", "block", "n", "rank", F.col("size").alias("source_size"), "target", "rounds", "cut", "shards", "last"))
+
+
+def fill(rows: DataFrame, by: list[str], order: str, size: str, round_up: bool = False) -> DataFrame:
+    """Takes rows into each group's ``room``: in order up to the first that doesn't fit, then, of those that fit into what is left, again; ``PASSES`` times.
+
+    With ``round_up``, the least row left goes too if that comes nearer to the room.
+    Adds ``taken`` and ``passes``, an array of (most, first, last): a row is taken if in
+    one of these its size is at most ``most`` and its place from first to last.
+    ``room`` becomes what is left.  Rows of one place and size go together.
+    """
+    upto, whole = Window.partitionBy(*by).orderBy(order), Window.partitionBy(*by)
+    lowest = F.min(order).over(whole).alias("first")
+    rows = rows.withColumn("taken", F.lit(False)).withColumn("room", F.col("room").cast("double"))
+    for k in range(PASSES):
+        rows = rows.withColumn("__fits", ~F.col("taken") & (F.col(size) <= F.col("room")))
+        rows = rows.withColumn("__now", F.col("__fits") & (F.sum(F.when(F.col("__fits"), F.col(size))).over(upto) <= F.col("room")))
+        rows = rows.withColumn(f"__pass{k}", F.struct(F.col("room").alias("most"), lowest, F.max(F.when(F.col("__now"), F.col(order))).over(whole).alias("last")))
+        rows = rows.withColumn("room", F.col("room") - F.coalesce(F.sum(F.when(F.col("__now"), F.col(size))).over(whole), F.lit(0))).withColumn("taken", F.col("taken") | F.col("__now"))
+    names = [f"__pass{k}" for k in range(PASSES)]
+    if round_up:
+        near = F.when(~F.col("taken") & (F.col(size) < 2 * F.col("room")), F.struct(F.col(size).cast("double").alias("most"), F.col(order).alias("first"), F.col(order).alias("last")))
+        rows, names = rows.withColumn("__up", F.min(near).over(whole)), [*names, "__up"]
+    return rows.withColumn("passes", F.filter(F.array(*names), lambda p: p["last"].isNotNull())).drop("__fits", "__now", *names)
 
 
 def placed(docs: DataFrame, names: list[str], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
@@ -174,7 +199,9 @@ def placed(docs: DataFrame, names: list[str], weights: tuple[int, ...] = WEIGHTS
     table = table.select(*[F.col(c).alias(f"__{c}") for c in table.columns])
     own = docs.select(F.struct(*quoted(names)).alias("row"), F.col("source").alias("__from"), words().alias("size"), F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(CELLS)).alias("__cell"), F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("__h"))
     met = own.join(bounded_broadcast(table), F.col("__from").eqNullSafe(F.col("__source")) & (F.expr(f"__cell * __n div {CELLS}") == F.col("__block")))
-    cut_off = (F.col("__part") > 0) & (F.col("__part") < 1) & ~F.coalesce(F.col("__h") <= F.col("__last"), F.lit(False))
+    at = F.struct(F.col("__rank").alias("rank"), F.col("__h").alias("h"))
+    in_cut = F.exists(F.col("__last"), lambda p: (F.col("size") <= p["most"]) & at.between(p["first"], p["last"]))
+    cut_off = F.col("__cut") & ~F.coalesce(in_cut, F.lit(False))
     taken = F.when(cut_off, F.slice("__shards", F.lit(1), F.col("__rounds").cast("int"))).otherwise(F.col("__shards"))
     return met.select("row", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("shards"))
 
@@ -189,4 +216,4 @@ def mixed_rows(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, **option
     """The mix itself: the columns of ``docs``, once for each time a row is taken, dealt by shard and shuffled within."""
     rows = placed(docs, docs.columns, seed=seed, shards=shards, **options).select("row", F.posexplode("shards").alias("time", "shard"))
     rows = rows.withColumn("order", F.xxhash64(F.lit(seed + 3), "shard", "row.doc_id", "time"))
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "order").select("row.*")
+    return rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "order").select("row.*")
