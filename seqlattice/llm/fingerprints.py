@@ -19,6 +19,7 @@ neighbours in the order of their texts; a null id comes first.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,8 @@ from .common import cut
 
 LEAF = 64
 DIGEST = 12
-PER_BUCKET = 1024
+PER_BUCKET = 256
+BUCKETS = 32768
 SECTION = r"(?s).+?(?:\n{2,}|\z)"
 PARAGRAPH = r"[^\n]*\n|[^\n]+"
 
@@ -75,23 +77,40 @@ def edits(a: Column, b: Column) -> Column:
     )
 
 
+def place_in(splitters: list[int], value: Column) -> Column:
+    """How many of the sorted splitters are at most the value, by bisection."""
+    if not splitters:
+        return F.lit(0)
+    table = F.lit(np.array(splitters, np.int64))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(splitters)).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        below = (s["lo"] < s["hi"]) & (F.get(table, mid) <= value)
+        return F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(below | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(splitters).bit_length())), start, halve, lambda s: s["lo"])
+
+
 def with_next(docs: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame:
     """(doc_id, text, next): the text of the next document in order of doc_id, of the last one the first's.
 
-    Ids are dealt into about ``per_bucket`` a bucket by their range.  Within a
-    bucket a window finds the neighbour; the first row of each bucket is also
-    sent to the bucket before, and that of the first to the last.
+    Ids are dealt into about ``per_bucket`` a bucket (but at most ``BUCKETS``
+    buckets) at their quantiles, however they are spread.  Within a bucket a
+    window finds the neighbour; the first row of each bucket is also sent to the
+    bucket before, and that of the first to the last.  Rows that share an id, and
+    those without one, meet in one bucket, in the order of their texts.
     """
-    ids = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi = ids["lo"] or 0, ids["hi"] or 0
-    width = max(1, (hi - lo + 1) * per_bucket // max(1, ids["n"]))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)), F.lit(-1)).cast("long")
+    n = docs.count()
+    parts = min(BUCKETS, max(1, n // per_bucket))
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / parts for k in range(1, parts)] or [0.5], 10 * BUCKETS).alias("q")).first()["q"]
+    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(place_in(sorted(set(cuts or [])) if parts > 1 else [], F.col("doc_id").cast("long"))).cast("long")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket.alias("b"))
     firsts = rows.groupBy("b").agg(F.min("doc_id").alias("first"))
-    by = Window.orderBy("b")  # a row for each bucket
+    by = Window.orderBy("b")  # a row for each bucket, BUCKETS + 1 at most
     before = F.coalesce(F.lag("b").over(by), F.max("b").over(Window.partitionBy()))
-    firsts = cut(firsts.select("b", "first", before.alias("to"), F.lag("b").over(by).isNull().alias("wraps")))
-    met = rows.join(firsts, "b")
+    firsts = cut(firsts.coalesce(1).select("b", "first", before.alias("to"), F.lag("b").over(by).isNull().alias("wraps")))
+    met = rows.join(F.broadcast(firsts), "b")
     sent = F.array(F.struct(F.col("b").alias("to"), F.lit(0).alias("place")), F.struct("to", F.when(F.col("wraps"), 2).otherwise(1).alias("place")))
     lead = F.col("doc_id").eqNullSafe(F.col("first"))
     met = met.select("doc_id", "text", F.explode(F.when(lead, sent).otherwise(F.slice(sent, 1, 1))).alias("at")).select("doc_id", "text", "at.*")
