@@ -568,7 +568,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, full: bool = False, **options)
     marks = repeats(own, length, **options).groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", digest(F.col("text")))
     rows = rows.join(bounded_broadcast(again, 300_000), "digest", "left").select("doc_id", "doc", "text", F.coalesce(F.col("doc") > F.col("least"), F.lit(False)).alias("copy"))
-    met = rows.join(marks, "doc", "left").select("doc_id", "text", "copy", "starts", "ends")
+    # Ids travel as text, since pandas would make floats of them beside nulls.
+    met = rows.join(marks, "doc", "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "copy", "starts", "ends")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -590,4 +591,5 @@ def dedup(docs: DataFrame, length: int = LENGTH, full: bool = False, **options)
             done.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield done if full else done.drop(columns="kept")
 
-    return met.mapInPandas(op, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full)
+    out = met.mapInPandas(op, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full)
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), *out.columns[1:])
