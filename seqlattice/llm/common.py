@@ -76,6 +76,11 @@ def many_small_steps(spark: SparkSession):
     return setting(spark, "spark.sql.codegen.wholeStage", "false")
 
 
+def few_rows(spark: SparkSession):
+    """Few rows at once in Python: for rows that each hold megabytes."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """A broadcast hint where a count proves that the rows are few; else Spark's own choice of join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
@@ -116,11 +121,11 @@ def map_texts(docs: DataFrame, columns: list[str] | tuple[str, ...], results: st
     """
     made = StructType.fromDDL(results)
     names = beside(list(columns), "__text", *made.names)
-    fields = [docs.schema[n] for n in names]
-    long = [isinstance(f.dataType, LongType) for f in fields]
-    sent = docs.select(*[F.col(q).cast("string").alias(n) if x else F.col(q) for q, n, x in zip(quoted(names), names, long, strict=True)], F.col("text").alias("__text"))
+    long = [isinstance(docs.schema[n].dataType, LongType) for n in names]
+    # Numbered names on the way: pandas functions take no dots.
+    sent = docs.select(*[(F.col(q).cast("string") if x else F.col(q)).alias(f"__c{k}") for k, (q, x) in enumerate(zip(quoted(names), long, strict=True))], F.col("text").alias("__text"))
     out = sent.mapInPandas(op, StructType(sent.schema.fields[:-1] + made.fields))
-    return out.select(*[F.col(q).cast("long").alias(n) if x else F.col(q) for q, n, x in zip(quoted(names), names, long, strict=True)], *quoted(made.names))
+    return out.select(*[(F.col(f"__c{k}").cast("long") if x else F.col(f"__c{k}")).alias(n) for k, (n, x) in enumerate(zip(names, long, strict=True))], *made.names)
 
 
 def quoted(names: list[str] | tuple[str, ...]) -> list[str]:

@@ -19,12 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, few_rows, ship
 from .shingles import shingle_hashes
 
 ship(__name__)
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 PART = 1_000_000
 SLICE = 1_000_000
 
@@ -130,8 +130,8 @@ def frequencies(held: DataFrame, parts: int) -> DataFrame:
                 n = np.add.reduceat(n, first).astype("<u4") if len(f) else n
                 own = part_of(f, parts)
                 at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(f) else np.zeros(0, int)
-                for i, j in zip(at, [*at[1:], len(f)], strict=True):
-                    yield pd.DataFrame({"part": [int(own[i])], "block": [block], "data": [pack(np.diff(f[i:j], prepend=np.uint64(0)).astype("<u8"), n[i:j])]})
+                sent = [pack(np.diff(f[i:j], prepend=np.uint64(0)).astype("<u8"), n[i:j]) for i, j in zip(at, [*at[1:], len(f)], strict=True)]
+                yield pd.DataFrame({"part": own[at].astype(np.int64), "block": block, "data": sent})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         got = [unpack(d, "<u8", "<u4") for d in pdf["data"]]
@@ -143,7 +143,8 @@ def frequencies(held: DataFrame, parts: int) -> DataFrame:
         return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "back": [pack(df[i:j]) for i, j in zip(at, at[1:], strict=False)]})
 
     sent = held.select("block", "data").mapInPandas(send, "part long, block long, data binary")
-    back = cut(sent.groupBy("part").applyInPandas(add, "block long, part long, back binary"))
+    with few_rows(held.sparkSession):
+        back = cut(sent.groupBy("part").applyInPandas(add, "block long, part long, back binary"))
     return back.groupBy("block").agg(F.collect_list(F.struct("part", "back")).alias("back"))
 
 

@@ -46,7 +46,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, bounded_broadcast, cut, many_small_steps, quoted, ship, small_batches
+from .common import beside, bounded_broadcast, cut, few_rows, many_small_steps, quoted, ship, small_batches
 from .frequencies import counted, framed, pack, unpack
 from .graph import components
 from .shingles import mixed, powers
@@ -262,7 +262,8 @@ class Finder:
                     some = [(node, Packed.of(f, times, df)) for node, f, times, df in counted(data, back) if node in own]
                     yield pd.DataFrame(some, columns=["node", "packed"])
 
-        return cut(self.frame.join(bounded_broadcast(wanted, 5_000), "block").mapInPandas(op, "node string, packed binary"))
+        with few_rows(nodes.sparkSession):
+            return cut(self.frame.join(bounded_broadcast(wanted, 5_000), "block").mapInPandas(op, "node string, packed binary"))
 
     def verified(self, pairs: DataFrame, vectors: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose weighted Jaccard similarity reaches the threshold, with it.
@@ -340,7 +341,8 @@ class Finder:
 
     def links(self) -> DataFrame:
         """Links that give the classes: (a, b, similarity)."""
-        signed = cut(self.signatures())
+        with few_rows(self.frame.sparkSession):
+            signed = cut(self.signatures())
         every = signed.select("node", F.explode("bands").alias("key"))
         shared = every.groupBy("key").agg(F.min("node").alias("__lo"), F.max("node").alias("__hi")).where("__lo < __hi").select("key")
         buckets = cut(every.join(shared, "key").select("key", "node"))

@@ -10,13 +10,18 @@ blocks compressed without a dictionary relative to their length, since the
 difference means less where a block compresses to almost nothing by itself.
 
 Fitting takes at most ``DOCS_PER_CLASS`` documents of each class, lowest hash
-of the id first, and at most ``DICT_BYTES`` times 100 of their bytes; half of
-them build the dictionaries and the other half fit the curve.
+of the id first (of rows that repeat an id the least text), the first
+``CHARS_PER_DOC`` characters of each, and for dictionaries at most ``DICT_BYTES`` times
+100 of their bytes; half of them build the dictionaries and the other half fit
+the curve.  Scoring reads whole texts.
 
 Defined results: null and empty texts score as the share of good documents in
 the training rows; with fewer than ``LEAST`` documents of a class there is no
-classifier and every text gets that share (0.5 without any label); repeated
-rows give repeated results.
+classifier and every text gets that share (0.5 without any label); an id with
+both labels counts as bad; labels without an id and ids without a document are
+passed over, and rows without an id are scored like others; repeated rows give
+repeated results; of the columns asked for, those named score or predicted (case
+aside) give way to the results.
 """
 
 from __future__ import annotations
@@ -28,13 +33,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, ship, small_batches
+from .common import bounded_broadcast, map_texts, ship, small_batches
 
 ship(__name__)
 
 BLOCK = 512
 DICT_BYTES = 64 * 1024
-DOCS_PER_CLASS = 1500
+DOCS_PER_CLASS, CHARS_PER_DOC = 1500, 50_000
 LEVEL = 3
 LEAST = 8
 CUT = 0.3
@@ -138,16 +143,14 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = DOCS_PER_CLASS) -> tu
     texts: list[list[str]] = []
     for q in (1, 0):
         ids = own.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id")
-        rows = docs.where("text is not null").select("doc_id", "text").join(bounded_broadcast(ids), "doc_id").collect()
-        texts.append([t for _, t in sorted({(r.doc_id, r.text) for r in rows})])
+        rows = docs.where("text is not null").select("doc_id", F.substring("text", 1, CHARS_PER_DOC).alias("text")).join(bounded_broadcast(ids), "doc_id")
+        texts.append([r.text for r in sorted(rows.groupBy("doc_id").agg(F.min("text").alias("text")).collect())])
     return texts[0], texts[1], share
 
 
 def classify(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), cut: float = CUT) -> DataFrame:
     """One row for each row of ``docs``: the given columns, score and predicted."""
     small_batches(docs.sparkSession)
-    picked = docs.select(*columns, F.col("text").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
     parts = (model.share, model.good, model.bad, model.curve)
 
     def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,4 +161,4 @@ def classify(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id"
             pdf["predicted"] = (pdf["score"] >= cut).astype("int32")
             yield pdf
 
-    return picked.mapInPandas(op, f"{kept}, score double, predicted int")
+    return map_texts(docs, columns, "score double, predicted int", op)

@@ -12,7 +12,8 @@ size whatever the corpus holds; each task sends its counts once.
 
 Defined results: a null text counts as empty; a text without an n-gram scores
 0; without any trusted text no document fails the ratio; repeated rows count
-as often as they occur.
+as often as they occur; a row without an id is never trusted; of the columns
+asked for, those with a result's name (case aside) give way to it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, ship, slices, small_batches
+from .common import bounded_broadcast, map_texts, ship, slices, small_batches
 
 ship(__name__)
 
@@ -131,8 +132,6 @@ def score(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, colu
     """One row for each row of ``docs``: the given columns, the counts, base_failed, kept and the score (``llr``)."""
     small_batches(docs.sparkSession)
     bits = len(ratio).bit_length() - 1
-    picked = docs.select(*columns, F.col("text").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -153,7 +152,7 @@ def score(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, colu
             pdf["llr"] = mean
             yield pdf
 
-    return picked.mapInPandas(op, f"{kept}, {', '.join(f'{c} long' for c in counts)}, base_failed boolean, kept boolean, llr double")
+    return map_texts(docs, columns, f"{', '.join(f'{c} long' for c in counts)}, base_failed boolean, kept boolean, llr double", op)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ falls into chunks (markers followed by other characters) that the model
 segments independently, and the ids of the text are the chunks' ids in order.
 Each distinct chunk is segmented once per table; texts look their chunks up by
 position.  A table lives in a task and is emptied at ``TABLE_ROWS`` entries, so
-occurrences are never shuffled and memory stays bounded.  Models that do have
-such pieces, and chunks too long to repeat, take the library's direct path.
+occurrences are never shuffled and memory stays bounded.  Chunks of more than
+``LONG_CHUNK`` characters are segmented for the batch at hand and not kept.  Models
+that do have such pieces take the library's direct path.
 
 Defined results: a null text counts as empty; an empty text has the end id
-alone; repeated rows give repeated results; extra columns are kept on request.
+alone; repeated rows give repeated results; extra columns are kept on request,
+but for those (case aside) that have a result's name.
 """
 
 from __future__ import annotations
@@ -21,15 +23,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import ship, slices, small_batches
+from .common import map_texts, ship, slices, small_batches
 
 ship(__name__)
 
 MARK = "▁"
 TABLE_ROWS = 300_000
-LONG_CHUNK = 48
+LONG_CHUNK = 384
 SLICE_CHARS = 4_000_000
 
 
@@ -66,17 +67,21 @@ class Codec:
             return text.split(MARK)[1:]
         return [c[1:] for c in self.chunk.findall(text)]
 
+    def segmented(self, new: list[str]) -> Iterator[tuple[str, str, int, str]]:
+        """(chunk, its ids in decimal, how many they are, what they decode to)"""
+        ids = self.sp.encode([c.replace(MARK, " ") for c in new], num_threads=1)
+        ids = [own or [self.sp.piece_to_id(MARK)] for own in ids]  # a lone marker ends the text
+        for c, own, back in zip(new, ids, self.sp.decode(ids), strict=True) if new else ():
+            yield c, " ".join(map(str, own)), len(own), c if back == c else back
+
     def learn(self, wanted: set[str]) -> None:
         """Segment each chunk that the table lacks, once."""
         new = [c for c in wanted if c not in self.size]
         if len(self.size) + len(new) > self.rows:
             self.ids, self.back, self.size = {}, {}, {}
             new = list(wanted)
-        ids = self.sp.encode([c.replace(MARK, " ") for c in new], num_threads=1)
-        ids = [own or [self.sp.piece_to_id(MARK)] for own in ids]  # a lone marker ends the text
-        for c, own, back in zip(new, ids, self.sp.decode(ids), strict=True) if new else ():
-            self.ids[c], self.size[c] = " ".join(map(str, own)), len(own)
-            self.back[c] = c if back == c else back
+        for c, own, size, back in self.segmented(new):
+            self.ids[c], self.size[c], self.back[c] = own, size, back
 
     def direct(self, text: str) -> tuple[int, str, str]:
         ids = [*self.sp.encode(text), self.end]
@@ -88,16 +93,15 @@ class Codec:
             yield from map(self.direct, texts)
             return
         parts = [self.chunks(t) if t else [] for t in texts]
-        long = [any(len(c) > LONG_CHUNK * 8 for c in p) for p in parts]
-        wanted: set[str] = set()
-        for p, skip in zip(parts, long, strict=True):
-            if not skip:
-                wanted.update(p)
-        self.learn(wanted)
+        wanted = set().union(*parts)
+        long = {c for c in wanted if len(c) > LONG_CHUNK}
+        self.learn(wanted - long)
         ids, back, size = self.ids.__getitem__, self.back.__getitem__, self.size.__getitem__
-        for text, p, skip in zip(texts, parts, long, strict=True):
-            if skip:
-                yield self.direct(text)
+        once = {c: rest for c, *rest in self.segmented(sorted(long))}
+        for p in parts:
+            if long and not long.isdisjoint(p):
+                got = [once[c] if c in once else (ids(c), size(c), back(c)) for c in p]
+                yield sum(n for _, n, _ in got) + 1, " ".join([*(x for x, _, _ in got), str(self.end)]), " ".join(x for _, _, x in got)
             else:
                 yield sum(map(size, p)) + 1, " ".join([*map(ids, p), str(self.end)]), " ".join(map(back, p))
 
@@ -108,9 +112,7 @@ def encode(docs: DataFrame, model_file: str, columns: tuple[str, ...] = ("doc_id
     With ``full``, also ``ids`` (array of int) and ``decoded`` (string).
     """
     small_batches(docs.sparkSession)
-    picked = docs.select(*columns, F.col("text").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    schema = f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
+    results = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
 
     def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = None
@@ -128,4 +130,4 @@ def encode(docs: DataFrame, model_file: str, columns: tuple[str, ...] = ("doc_id
                     out["decoded"] = [x for _, _, x in got]
                 yield out
 
-    return picked.mapInPandas(op, schema)
+    return map_texts(docs, columns, results, op)

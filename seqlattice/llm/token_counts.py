@@ -11,7 +11,8 @@ ahead nor a special string could reach past it.  Where two chunks share no
 such place, the overlap doubles; in the last resort the chunk itself grows.
 
 Defined results: a null text counts as empty and has 0 tokens; repeated rows
-give repeated results.
+give repeated results; of the columns asked for, those named n_bytes, n_tokens
+or over_limit (case aside) give way to the results.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import ship, slices, small_batches
+from .common import map_texts, ship, slices, small_batches
 
 ship(__name__)
 
@@ -109,8 +109,6 @@ class Counter:
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, columns: tuple[str, ...] = ("doc_id",), chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """One row for each row of ``docs``: the given columns, n_bytes, n_tokens and over_limit."""
     small_batches(docs.sparkSession)
-    picked = docs.select(*columns, F.col("text").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
 
     def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
@@ -125,4 +123,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, columns: tuple[st
             pdf["over_limit"] = pdf["n_tokens"] > limit
             yield pdf
 
-    return picked.mapInPandas(op, f"{kept}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_texts(docs, columns, "n_bytes long, n_tokens long, over_limit boolean", op)

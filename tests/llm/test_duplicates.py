@@ -107,15 +107,14 @@ def edit(a, b):
 
 
 def brute_lines(rows, least):
-    lines = sorted({(order(d), p, line) for d, t, *_ in rows if t is not None for p, line in enumerate(t.split("\n")) if len(line) >= least})
+    """(id, position, line) of all that go."""
+    lines = sorted({(order(d), p, line) for d, t, *_ in rows if t is not None for p, line in enumerate(t.split("\n")) if line.strip(" \t\x0b\x0c\r")})
     first = {}
     for d, p, line in lines:
         first.setdefault(line, (d, p))
-    gone = set()
-    for d, p, line in lines:
-        if first[line] < (d, p) or any(first[o] < (d, p) and first[o] < first[line] and edit(o, line) for o in first):
-            gone.add((d, p))
-    return gone
+    long = [o for o in first if len(o) >= least]
+    near = {line for line in long if any(first[o] < first[line] and edit(o, line) for o in long if o != line)}
+    return {(d, p, line) for d, p, line in lines if first[line] < (d, p) or line in near}
 
 
 def check_lines(spark, rows, least=5):
@@ -124,8 +123,8 @@ def check_lines(spark, rows, least=5):
     want = []
     for d, t, *_ in rows:
         parts = None if t is None else t.split("\n")
-        kept = None if t is None else "\n".join(x for p, x in enumerate(parts) if (order(d), p) not in gone)
-        want.append((order(d), kept, 0 if t is None else len(parts), sum(g[0] == order(d) for g in gone)))
+        kept = None if t is None else [x for p, x in enumerate(parts) if (order(d), p, x) not in gone]
+        want.append((order(d), None if t is None else "\n".join(kept), 0 if t is None else len(parts), 0 if t is None else len(parts) - len(kept)))
     got = [(order(r.doc_id), r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup(docs, least).collect()]
     key = lambda x: tuple(map(repr, x))
     assert sorted(got, key=key) == sorted(want, key=key)
@@ -148,8 +147,15 @@ def test_lines_with_edits(spark):
 
 
 def test_lines_of_documents(spark, rows):
-    by_id = collections.Counter(r[0] for r in rows)
-    check_lines(spark, [r for r in rows if by_id[r[0]] == 1 and len(r[1] or "") < 4000], 20)
+    check_lines(spark, [r for r in rows if len(r[1] or "") < 4000], 20)
+
+
+def test_rows_that_repeat_an_id_lose_their_own_lines_only(spark):
+    again, alone = "a line that is repeated somewhere", "a line that nothing else in here is like"
+    rows = [(1, again), (5, again), (5, alone), (5, "x\n" + again), (None, "ab"), (None, "cd"), (7, "cd\nab\nef"), (7, "ef\ngh\nef"), (8, "   \n\t\n   "), (9, "   " * 9 + "\n" + "   " * 9)]
+    check_lines(spark, rows, 20)
+    got = [r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 5").collect()]
+    assert sorted(got) == ["", alone, "x"]
 
 
 def test_short_lines_go_in_the_pipeline(spark):

@@ -82,9 +82,77 @@ def test_hypergeometric_draws(spark):
 
 
 def test_shards_are_disjoint_runs_of_each_source(docs):
+    """Each block of a source is drawn as often as its shards say, in consecutive runs of the permuted draws, and shards get about equal shares."""
+    blocks = collections.defaultdict(dict)
+    table = mixing.plan(docs, shards=4, blocks=32).collect()
+    for r in table:
+        assert len(r.shards) in (r.rounds, r.rounds + 1)
+        for k, shard in enumerate(r.shards):
+            blocks[r.source][k, r["rank"]] = shard
+    for draws in blocks.values():
+        row = [draws[k] for k in sorted(draws)]
+        assert row == sorted(row)
     out = mixing.mix(docs, keep=["doc_id", "source"], shards=4, blocks=32).collect()
-    per = collections.Counter(s for r in out for s in r.shards)
-    assert set(per) == {0, 1, 2, 3}
+    assert {s for r in out for s in r.shards} == {0, 1, 2, 3}
+    per = collections.Counter(s for d in blocks.values() for s in d.values())
+    assert max(per.values()) - min(per.values()) <= 2 + len(blocks)
+
+
+def brute_taken(rows, table):
+    """How often each (id, size) of a source is taken, by the blocks' table and the rules in words, in plain Python."""
+    of = {}
+    for r in table:
+        of[r.source, r.block] = r
+    taken = collections.Counter()
+    rest = collections.defaultdict(list)
+    for d, size, source, cell, h in rows:
+        n = next(r.n for (s, _), r in of.items() if s == source)
+        r = of[source, cell * n // mixing.CELLS]
+        taken[d, size, source] += size * r.rounds
+        if len(r.shards) > r.rounds:
+            if r.cut:
+                rest[source].append((r["rank"], h, size, d))
+            else:
+                taken[d, size, source] += size
+    for source, own in rest.items():
+        first = next(r for (s, _), r in of.items() if s == source)
+        room = first.target - sum(v for (_, _, s), v in taken.items() if s == source)
+        left = sorted(own)
+        for _ in range(mixing.PASSES):
+            fit, got, used = [x for x in left if x[2] <= room], [], 0
+            for at in sorted({x[:2] for x in fit}):
+                tied = [x for x in fit if x[:2] == at]
+                if used + sum(x[2] for x in tied) > room:
+                    break
+                used += sum(x[2] for x in tied)
+                got += tied
+            for x in got:
+                taken[x[3], x[2], source] += x[2]
+                left.remove(x)
+            room -= used
+        near = min((x[2], x[:2], x[3]) for x in left if x[2] < 2 * room) if any(x[2] < 2 * room for x in left) else None
+        if near:
+            for x in left:
+                if x[:2] == near[1] and x[2] <= near[0]:
+                    taken[x[3], x[2], source] += x[2]
+    return taken
+
+
+def test_draws_are_those_of_the_rules(docs):
+    key = F.xxhash64(F.lit(mixing.SEED), F.col("doc_id"))
+    rows = [tuple(r) for r in docs.select("doc_id", mixing.words().alias("n"), "source", F.pmod(key, F.lit(mixing.CELLS)), F.xxhash64(F.lit(mixing.SEED + 1), F.col("doc_id"))).collect()]
+    for blocks in (16, 4096):
+        want = brute_taken(rows, mixing.plan(docs, blocks=blocks).collect())
+        got = collections.Counter()
+        for r in mixing.mix(docs, keep=["doc_id", "source"], blocks=blocks).collect():
+            got[r.doc_id, r["size"], r.source] += r["size"] * len(r.shards)
+        assert +got == +want
+
+
+def test_a_document_too_large_does_not_end_the_mix(spark):
+    rows = [(k, " ".join(["w"] * (2000 if k % 50 == 0 else 20 + k % 30)), f"s{k % 3}") for k in range(600)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.size("shards")).alias("n")).collect()
+    assert all(abs(r.n - r.t) < 0.01 * r.t for r in out)
 
 
 def brute_print(t):
@@ -123,6 +191,22 @@ def test_neighbours(docs, rows, per):
     assert sorted(repr(tuple(r)) for r in fingerprints.with_next(docs, per).collect()) == want
 
 
+@pytest.mark.parametrize("ids", [[*range(1, 5000), 4 * 10**12], [-(2**63), 0, 2**63 - 1], [2**62 + k for k in range(50)] + [-5], [3] * 20 + [None] * 20 + [9]])
+def test_neighbours_of_spread_and_tied_ids(spark, ids):
+    rows = [(d, f"t{(k * 7919) % 10007:05d}") for k, d in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = sorted(repr((d, t, ordered[(k + 1) % len(ordered)][1])) for k, (d, t) in enumerate(ordered))
+    assert sorted(repr(tuple(r)) for r in fingerprints.with_next(docs, 16).collect()) == want
+
+
+def test_buckets_are_even(spark):
+    docs = spark.createDataFrame([(d, "x") for d in [*range(1, 5000), 4 * 10**12]], "doc_id long, text string")
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / 19 for k in range(1, 19)], 10 * fingerprints.BUCKETS).alias("q")).first()["q"]
+    sizes = [r["n"] for r in docs.groupBy(fingerprints.place_in(cuts, F.col("doc_id")).alias("b")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 19 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
 def test_edits_are_located(spark):
     a = "one\ntwo\n\nthree\nfour" + "x" * 300
     b = a.replace("three", "thrae")

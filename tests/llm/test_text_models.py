@@ -182,11 +182,47 @@ def test_languages(spark, empty):
     assert language_id.predict(empty, net).count() == 0
 
 
+def plain_pass(net, data):
+    """The mean of a whole text's labels, one position after another, in plain Python and double precision."""
+    import math
+
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    h, states = net.h, {}
+    for d in "fb":
+        w, u, b = (net.p[k + d].astype(float) for k in "WUb")
+        s, out = [0.0] * h, []
+        for byte in data if d == "f" else data[::-1]:
+            r = [sum(s[i] * u[i][j] for i in range(h)) for j in range(3 * h)]
+            a = [w[byte][j] + b[j] for j in range(3 * h)]
+            z, reset = [sig(a[j] + r[j]) for j in range(h)], [sig(a[h + j] + r[h + j]) for j in range(h)]
+            n = [math.tanh(a[2 * h + j] + reset[j] * r[2 * h + j]) for j in range(h)]
+            s = [(1 - z[j]) * n[j] + z[j] * s[j] for j in range(h)]
+            out.append(s)
+        states[d] = out if d == "f" else out[::-1]
+    total = np.zeros(len(net.langs))
+    for f, b in zip(states["f"], states["b"], strict=True):
+        e = np.exp(np.array(f + b) @ net.p["V"] + net.p["c"])
+        total += e / e.sum()
+    return total / len(data)
+
+
 def test_pooling_is_the_mean_over_positions():
     net = language_id.Network(["a", "b"], seed=3)
-    data = "some words and somewhatlongerpiecesthatarecut again and again".encode()
-    parts = [net.label(np.frombuffer(p, np.uint8)[:, None])[:, 0] for p in language_id.pieces(data)]
-    assert language_id.Labeller(net).pool([data, b""])[0] == pytest.approx(np.concatenate(parts).mean(0), abs=1e-5)
+    texts = [b"some words and somewhatlongerpieces again and again " * 3, b"", b"x", "é漢 ".encode() * 20]
+    whole = language_id.pool(net, texts, size=10_000)
+    for k in (0, 2, 3):
+        assert whole[k] == pytest.approx(plain_pass(net, texts[k]), abs=1e-5)
+    assert not whole[1].any() and len(language_id.pool(net, [])) == 0
+
+
+def test_windows_agree_with_a_pass_over_the_whole_text():
+    texts = {lang: [tongue(k, lang) * 3 for k in range(60)] for lang in ("xx", "yy", "zz")}
+    net = language_id.fit(texts)
+    held = [tongue(k, lang).encode() * 9 for k in range(900, 930) for lang in ("xx", "yy", "zz")]
+    whole, cut = language_id.pool(net, held, size=10**6), language_id.pool(net, held)
+    assert np.abs(whole - cut).max() < 0.01 and (whole.argmax(1) == cut.argmax(1)).all()
+    found = language_id.windows([b"x" * 700, b"", b"y" * 256, b"z"])
+    assert [(t, lo, hi) for t, _, lo, hi, _ in found.T.tolist()] == [(0, 0, 256), (0, 256, 512), (0, 512, 700), (2, 700, 956), (3, 956, 957)]
 
 
 def test_fold():
