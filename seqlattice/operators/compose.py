@@ -18,7 +18,7 @@ from ..functions.axis import field_type, number
 from ..pattern.expr import spark_text
 from ..pattern.graph import Graph, View
 from ..pattern.model import PatternQuery
-from . import kleene, rangejoin
+from . import kleene, nearest, rangejoin
 from .reduce import best, measures
 from .scan import before, first_key, last_key, order_columns, same_partition, scan
 
@@ -104,7 +104,19 @@ def view(events: DataFrame, q: PatternQuery, variables: View, recent: DataFrame
 
 
 def candidates(q: PatternQuery, frames: dict[View, DataFrame], tree: Tree | None = None) -> DataFrame:
-    return build(tree or default_tree(q, list(frames)), frames, q)
+    """All matches, or without a given tree at least the best one for each start row: variables tied by order alone get their nearest row only."""
+    if tree is not None:
+        return build(tree, frames, q)
+    free = nearest.free_variables(q, {v for s in frames if len(s) == 1 for v in s})
+    alone = {frozenset([v]) for v, _ in free}
+    out = build(default_tree(q, [s for s in frames if s not in alone]), frames, q)
+    for v, other in free:
+        out = nearest.attach(out, q, v, frames[frozenset([v])], other)
+    names = list(q.names)
+    for a, b in zip(names, names[1:], strict=False):
+        if frozenset([a]) in alone or frozenset([b]) in alone:
+            out = out.where(before(q, a, b))
+    return out
 
 
 def answer(q: PatternQuery, frames: dict[View, DataFrame], tree: Tree | None = None, keys: bool = False) -> DataFrame:

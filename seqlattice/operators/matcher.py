@@ -19,6 +19,10 @@ from ..pattern.model import GREEDY, PLUS, RELUCTANT_PLUS, PatternQuery
 from .scan import condition, order_columns
 
 
+#: Rows that one task may hold where nothing parts them.
+MOST = 200_000
+
+
 def matches(rows: list[dict], fits: dict[str, list[bool]], q: PatternQuery) -> Iterator[dict[str, tuple[int, int]]]:
     """For each start row with a match: (first, last) row of each variable."""
     n, names = len(rows), q.names
@@ -76,7 +80,9 @@ def match_frame(pdf: pd.DataFrame, q: PatternQuery) -> pd.DataFrame:
 
 
 def match(events: DataFrame, q: PatternQuery) -> DataFrame:
-    """The query's answer by the matcher, one group for each partition."""
+    """The query's answer by the matcher, one group for each partition; refuses tables without partitions above ``MOST`` rows."""
+    if not q.partition_by and events.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"without PARTITION BY the matcher is one task: more than {MOST} rows")
     names = {f.name.lower(): f for f in events.schema.fields}
     kind = lambda m: "long" if m.function == "COUNT" else names[m.attribute.lower()].dataType.simpleString()
     schema = ", ".join(f"`{m.alias}` {kind(m)}" for m in q.measures)
