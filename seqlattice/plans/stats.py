@@ -91,6 +91,12 @@ def one_row(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame
     return df.agg(*out)
 
 
+def filtered_distinct(df: DataFrame, column: str, filters: dict[str, str]) -> DataFrame:
+    """(name, ndv): approximate distinct values among the rows of each filter, in one pass."""
+    row = df.agg(*[F.approx_count_distinct(F.when(F.expr(f), F.col(column))).alias(name) for name, f in filters.items()])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"`{name}`").alias("ndv")) for name in filters])).alias("x")).select("x.*")
+
+
 def top_values(df: DataFrame, column: str, k: int = TOP) -> DataFrame:
     """The k commonest values with their counts; nulls don't compete."""
     return df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k)
