@@ -2,7 +2,9 @@
 
 Each view of a plan is a Parquet table with a partition for each batch.  A
 batch adds the partial matches whose last variable is among its rows; nothing
-stored is read again but what those rows can join with.  The answer is composed
+stored is read again but what those rows can join with.  A view that does not
+fire with a batch takes it in when it fires next, and is completed for an answer
+that is asked for before.  The answer is composed
 from the tables when the schedule asks for it.  A partition is written under
 its batch's number with overwrite, so a batch that is tried again leaves the
 same state.
@@ -15,11 +17,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compose
+from ..operators import compose, kleene, nearest
 from ..operators.scan import first_key, order_columns
 from ..pattern.graph import Graph, View
-from ..pattern.model import PatternQuery
+from ..pattern.model import PLUS, PatternQuery
 from ..plans.covers import Plan
+from ..plans.storage import file_bytes
 from .schedule import Firing
 
 
@@ -61,19 +64,86 @@ class Incremental:
         """Store a batch and add to each view; the body of ``foreachBatch``."""
         q, ts = self.query, self.query.ts_column
         before = self.read("events", batch_id - 1)
-        is_late = False
-        if before is not None:
+        if before is not None and self.late == "refuse":
             newest, oldest = before.agg(F.max(ts)).first()[0], batch.agg(F.min(ts)).first()[0]
-            is_late = oldest is not None and newest is not None and oldest <= newest
-            if is_late and self.late == "refuse":
+            if oldest is not None and newest is not None and oldest <= newest:
                 raise OrderError(f"batch {batch_id} begins at {oldest}, not after {newest}")
         batch.write.mode("overwrite").parquet(self._where("events", batch_id))
-        fresh = self.spark.read.parquet(self._where("events", batch_id))
         for view in self.plan.updates():
-            if not self.firing.fires(batch_id):
-                continue
-            delta = self.late_delta(view, before, fresh) if is_late else self.delta(view, fresh, batch_id)
-            delta.write.mode("overwrite").parquet(self._where(self.graph.label(view), batch_id))
+            if self.fires(view, batch_id):
+                # Sources come first in the order of updates, so a view's delta sees theirs.
+                self.update(view, batch_id).write.mode("overwrite").parquet(self._where(self.graph.label(view), batch_id))
+
+        for variable in self.query.kleene:
+            if self.fires(frozenset([variable]), batch_id):
+                self.stitch(variable, batch_id)
+
+    def done(self, view: View, upto: int) -> int:
+        """The last batch before ``upto`` that the stored view has taken in; 0 if none."""
+        return max((b for b in self.batches(self.graph.label(view)) if b < upto), default=0)
+
+    def unfinished(self, variable: str, done: int, batch_id: int) -> DataFrame:
+        """The rows of the run that was open after one batch, and all events since up to another: what later rows can still change."""
+        fresh = self.since(done, batch_id) if done < batch_id else None
+        if not done:
+            return fresh
+        left = self.spark.read.parquet(self._where(f"{variable}__open", done))
+        return left if fresh is None else left.unionByName(fresh.select(*left.columns))
+
+    def stitch(self, variable: str, batch_id: int) -> None:
+        """Store the runs that ended, and the rows of the one that is open (of each partition), which the next batch may go on with."""
+        q = self.query
+        rows = self.unfinished(variable, self.done(frozenset([variable]), batch_id), batch_id)
+        plus = q.variable(variable).quantifier == PLUS
+        open_ = kleene.run_ends(rows, q, variable).where("__open").select(*rows.columns) if plus else rows.limit(0)
+        open_.write.mode("overwrite").parquet(self._where(f"{variable}__open", batch_id))
+        ended = kleene.runs(rows, q, variable, kleene.needs_every_end(q, variable), ended=plus)
+        ended.write.mode("overwrite").parquet(self._where(variable, batch_id))
+
+    def runs(self, variable: str, batch_id: int) -> DataFrame:
+        """A variable's runs as of a batch: those stored, and those of the rows that are not settled."""
+        q = self.query
+        done = self.done(frozenset([variable]), batch_id + 1)
+        if self.late == "allow":  # rows may come into a run that has ended
+            return compose.source(self.read("events", batch_id), q, variable)
+        rest = compose.source(self.unfinished(variable, done, batch_id), q, variable)
+        return self.read(variable, batch_id).select(variable).unionByName(rest) if done else rest
+
+    def fires(self, view: View, batch_id: int) -> bool:
+        """Whether the view is updated with this batch; sizes are those of the view that the firing names, else of the events it has not taken in."""
+        rows = 0
+        if self.firing.kind == "when_size_exceeds":
+            if self.firing.view is not None:
+                table = self.read("_".join(self.graph.ordered(self.firing.view)), batch_id)
+            else:
+                table = self.since(self.done(view, batch_id), batch_id)
+            rows = 0 if table is None else table.count()
+        return self.firing.fires(batch_id, rows)
+
+    def since(self, batch: int, upto: int) -> DataFrame:
+        """The events of the batches after one, up to another."""
+        held = [b for b in self.batches() if batch < b <= upto]
+        return self.spark.read.option("basePath", self._where("events")).parquet(*[self._where("events", b) for b in held]).drop("batch_id")
+
+    def update(self, view: View, batch_id: int) -> DataFrame:
+        """What a view lacks up to a batch: the partial matches of all batches since the last that it has taken in."""
+        done = self.done(view, batch_id)
+        fresh, before = self.since(done, batch_id), self.read("events", done) if done else None
+        if before is not None and self.late == "allow":
+            ts = self.query.ts_column
+            newest, oldest = before.agg(F.max(ts)).first()[0], fresh.agg(F.min(ts)).first()[0]
+            if oldest is not None and newest is not None and oldest <= newest:
+                return self.late_delta(view, before, fresh)
+        return self.delta(view, fresh, batch_id)
+
+    def state(self, view: View, batch_id: int) -> DataFrame:
+        """A view as of a batch: what is stored, and what it has not taken in yet."""
+        label, names = self.graph.label(view), self.graph.ordered(view)
+        stored = self.read(label, batch_id)
+        if stored is not None and batch_id in self.batches(label):
+            return stored.select(*names)
+        rest = self.update(view, batch_id).select(*names)
+        return rest if stored is None else stored.select(*names).unionByName(rest)
 
     def delta(self, view: View, fresh: DataFrame, batch_id: int) -> DataFrame:
         """Partial matches whose last variable is new; the others may be of any batch up to this one."""
@@ -85,7 +155,7 @@ class Incremental:
             if s == last:
                 frames[s] = compose.source(fresh, q, next(iter(s)))
             elif len(s) > 1:
-                frames[s] = self.bounded(self.read(self.graph.label(s), batch_id), s, view, fresh)
+                frames[s] = self.bounded(self.state(s, batch_id), s, view, fresh)
             else:
                 frames[s] = compose.source(history, q, next(iter(s)))
         return compose.build(compose.default_tree(q, list(frames)), frames, q).select(*self.graph.ordered(view))
@@ -124,17 +194,26 @@ class Incremental:
         return out
 
     def answer(self, batch_id: int | None = None) -> DataFrame:
-        """The query's answer as of a batch."""
+        """The query's answer as of a batch; views that have not taken in all its events are completed for it."""
         q = self.query
         events = self.read("events", batch_id)
+        held = self.batches()
+        batch = max(b for b in held if batch_id is None or b <= batch_id)
         frames = {}
         for v in compose_nodes(q, self.plan):
-            frames[v] = self.read(self.graph.label(v), batch_id).select(*self.graph.ordered(v)) if v in self.plan.cover else compose.source(events, q, next(iter(v)))
-        return compose.answer(q, frames, self.plan.tree)
+            name = next(iter(v))
+            frames[v] = self.state(v, batch) if v in self.plan.cover else self.runs(name, batch) if q.variable(name).kleene else compose.source(events, q, name)
+        alone = {name for v in frames if len(v) == 1 for name in v}
+        return compose.answer(q, frames, None if nearest.free_variables(q, alone) else self.plan.tree)
 
     def state_rows(self, batch_id: int | None = None) -> dict[str, int]:
         return {self.graph.label(v): (t.count() if (t := self.read(self.graph.label(v), batch_id)) is not None else 0) for v in self.plan.cover}
 
+    def state_bytes(self) -> dict[str, int]:
+        """Bytes of the files of each table that is kept: views, runs and the rows of open runs."""
+        names = [*map(self.graph.label, self.plan.cover), *(n for v in self.query.kleene for n in (v, f"{v}__open"))]
+        return {n: file_bytes(self.spark, self._where(n)) for n in names}
+
     def watermark(self, batch_id: int | None = None):
         """The newest time stored."""
         events = self.read("events", batch_id)
@@ -150,6 +229,19 @@ def compose_nodes(q: PatternQuery, plan: Plan) -> list[View]:
     return [*plan.cover, *(frozenset([v]) for v in q.names if v not in have)]
 
 
+def result_counts(answer: DataFrame, batch: int, keys: list[str]) -> DataFrame:
+    """(batch_id, keys, c): how often each result key occurs in the answer as of a batch."""
+    return answer.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).select(F.lit(batch).alias("batch_id"), *keys, "c")
+
+
+def identity_gate(baseline: DataFrame, result: DataFrame, keys: list[str]) -> DataFrame:
+    """Result keys whose counts differ between two tables of counts, with both (0 where one lacks the key)."""
+    by = ["batch_id", *keys]
+    a, b = baseline.select(*by, F.col("c").alias("expected")), result.select(*by, F.col("c").alias("found"))
+    both = a.withColumn("found", F.lit(0).cast("long")).unionByName(b.withColumn("expected", F.lit(0).cast("long")))
+    return both.groupBy(*by).agg(F.sum("expected").alias("expected"), F.sum("found").alias("found")).where("expected <> found")
+
+
 def multiset_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one side has more often than the other, with the side."""
     names = a.columns

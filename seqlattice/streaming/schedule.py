@@ -28,15 +28,22 @@ def queried_batches(value: str | list[int] | None, batches: int) -> list[int]:
 
 @dataclass(frozen=True)
 class Firing:
-    """When an operator runs: always, never, every k batches, at given ones, or from a size on."""
+    """When an operator runs: always, never, every k batches from ``offset`` on, at given ones, or where a size exceeds ``rows``: that of ``view``, or of the events not taken in."""
 
     kind: str = "always"
     k: int = 1
     offset: int = 0
     batches: tuple[int, ...] = ()
     rows: int = 0
+    view: tuple[str, ...] | None = None
+
+    def __post_init__(self) -> None:
+        if self.kind not in ("always", "never", "every_k", "at_batches", "when_size_exceeds"):
+            raise ValueError(f"no such firing: {self.kind}")
+        if self.k < 1 or self.rows < 0 or any(b < 0 for b in self.batches):
+            raise ValueError("periods are positive; sizes and batches are not negative")
 
     def fires(self, batch: int, rows: int = 0) -> bool:
         if self.kind == "every_k":
-            return batch > self.offset and (batch - self.offset) % self.k == 0
+            return batch >= self.offset and (batch - self.offset) % self.k == 0
         return {"always": True, "never": False, "at_batches": batch in self.batches, "when_size_exceeds": rows > self.rows}[self.kind]

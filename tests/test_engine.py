@@ -12,6 +12,7 @@ from seqlattice.plans.cost import Workload, split_batches
 from seqlattice.plans.selectivity import Constant, Selectivities
 from seqlattice.sources import dataset, generator
 from seqlattice.streaming.engine import Incremental, OrderError, multiset_diff
+from seqlattice.streaming.schedule import Firing
 
 PATTERNS = ["A Z* B Z* C", "A Z*? B Z* C", "A Z* B Z*? C", "A Z*? B+ Z* C", "A Z* B+ Z* C", "B+ Z* C", "A Z* B+", "A Z*? B+? Z* C", "A Z*? B+ Z*? C+ Z* D"]
 JOINS = [" AND {b}.x <> {a}.x", " AND {b}.x BETWEEN {a}.x - 4 AND {a}.x + 4", " AND {b}.x >= {a}.x - 5", " AND {b}.ts <= {a}.ts + 9", " AND {b}.x < {a}.x + 3 AND {b}.ts BETWEEN {a}.ts AND {a}.ts + 12", " AND abs({a}.x - {b}.x) <= 3"]
@@ -78,6 +79,30 @@ def test_incremental_is_the_direct_answer_after_each_batch(spark, tmp_path, cove
     assert engine.watermark() == 44
 
 
+@pytest.mark.parametrize("firing", [Firing("never"), Firing("every_k", 2), Firing("at_batches", batches=(2,)), Firing("when_size_exceeds", rows=15), Firing("when_size_exceeds", rows=0, view=("A", "B"))])
+def test_views_that_lag_are_made_up_for(spark, tmp_path, firing):
+    e = stream(spark, random.Random(7), 45)
+    engine = Incremental(spark, CHAIN, planned(CHAIN, 45, [frozenset("AB"), frozenset("ABC"), frozenset("CD")]), str(tmp_path), firing)
+    ends = [12, 20, 33, 45]
+    for b, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False), 1):
+        engine.process(e.where(F.col("id").between(lo, hi - 1)), b)
+        assert rows(engine.answer(b)) == rows(compose.direct(e.where(F.col("id") < hi), CHAIN)), b
+    assert rows(engine.answer(2)) == rows(compose.direct(e.where("id < 20"), CHAIN))
+
+
+@pytest.mark.parametrize("pattern", ["B+", "A Z*? B+ Z* C", "B+ Z* C", "A Z* B+? Z* C"])
+def test_runs_are_stitched_over_batches(spark, tmp_path, pattern):
+    r = random.Random(pattern)
+    for k, firing in enumerate([Firing(), Firing("every_k", 2)]):
+        q, e = random_query(r, pattern), stream(spark, r, 40)
+        e = e.withColumn("t", F.when(F.col("id").between(8, 25), "b").otherwise(F.col("t"))).withColumn("x", F.when(F.col("id").between(8, 25), 7).otherwise(F.col("x"))).cache()
+        engine = Incremental(spark, q, planned(q, 40, []), f"{tmp_path}/{k}", firing)
+        ends = [10, 15, 30, 40]
+        for b, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False), 1):
+            engine.process(e.where(F.col("id").between(lo, hi - 1)), b)
+            assert rows(engine.answer(b)) == rows(matcher.match(e.where(F.col("id") < hi), q)), (q.to_sql(), b)
+
+
 def test_late_rows(spark, tmp_path):
     e = stream(spark, random.Random(9), 40)
     plan = planned(CHAIN, 40, [frozenset("ABC"), frozenset("CD")])
