@@ -1,9 +1,10 @@
 """``python -m seqlattice``: read a query, show what the planner makes of it, or run it.
 
   --sql-file F | --sql-text T | --json F      the query
-  --emit query|json|sql|graph|views|strategies|plan|duckdb|explain
+  --emit query|json|sql|graph|views|strategies|plan|variants|ledger|joins|trace|duckdb|explain
   --run --events PATH [--out PATH]            the answer, shown or written as Parquet
   --run --incremental DIR --batches N         the answer from views kept over batches
+  --experiment CONFIG --folder DIR            data, plan, batches and checks from a configuration (see runner.py)
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     source.add_argument("--sql-file")
     source.add_argument("--sql-text")
     source.add_argument("--json", help="a query specification or a dependency graph")
-    p.add_argument("--emit", choices=["query", "json", "sql", "graph", "views", "strategies", "plan", "duckdb", "explain"], default="query")
+    source.add_argument("--experiment", metavar="CONFIG")
+    p.add_argument("--folder", help="where an experiment keeps its data and state")
+    p.add_argument("--emit", choices=["query", "json", "sql", "graph", "views", "strategies", "plan", "variants", "ledger", "joins", "trace", "duckdb", "explain"], default="query")
     p.add_argument("--strategy-mode", choices=["full_subsets", "dependency_restricted"], default="full_subsets")
     p.add_argument("--max-strategies", type=int, default=200)
     p.add_argument("--id-column", default="id")
@@ -96,13 +99,22 @@ def emit(a: argparse.Namespace, q: PatternQuery):
         return [g.label(v) for v in g.views(a.strategy_mode)]
     if a.emit == "strategies":
         return [sorted(map(g.label, s)) for s in g.strategies(a.strategy_mode, a.max_strategies)]
-    if a.emit in ("plan", "explain"):
+    if a.emit in ("plan", "variants", "ledger", "joins", "trace", "explain"):
         if not a.events:
             raise SystemExit("--events is needed for statistics")
         events = session().read.parquet(a.events)
         w, p = planned(a, q, events)
-        if a.emit == "plan":
-            return p.to_dict(w) | {"plan_id": p.plan_id(w)}
+        from .plans import codec, cost, ledger
+
+        shown = {
+            "plan": lambda: codec.to_dict(p, w),
+            "variants": lambda: [codec.to_dict(v, w) for v in codec.variants(w, p, a.max_strategies)],
+            "ledger": lambda: [vars(x) for x in ledger.ledger(w, p)],
+            "joins": lambda: ledger.join_types(w, p),
+            "trace": lambda: [t for v in p.updates() for t in cost.trace(w, v, list(p.sources[v]))],
+        }
+        if a.emit in shown:
+            return shown[a.emit]()
         from .operators.compose import from_cover
 
         return from_cover(events, q, p.cover, p.tree)._jdf.queryExecution().toString()
@@ -140,6 +152,13 @@ def run(a: argparse.Namespace, q: PatternQuery):
 
 def main(argv: list[str] | None = None) -> int:
     a = arguments(argv)
+    if a.experiment:
+        from . import runner
+
+        if not a.folder:
+            raise SystemExit("--folder is needed for an experiment")
+        print(json.dumps(runner.run(session(), runner.load(a.experiment), a.folder), indent=1))
+        return 0
     try:
         q = read(a)
     except QueryError as e:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
+from functools import reduce as reduce_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
-from .operators import compose, kleene, matcher, reduce
+from .operators import compose, kleene, matcher, reduce, rerun
 from .operators.numbering import numbered
 from .pattern.frontend import parse_sql
 from .pattern.graph import Graph
@@ -21,8 +23,8 @@ from .plans.selectivity import estimate, columns_used
 from .sources import generator, topologies
 from .sources.dataset import fingerprint, with_batches
 from .sources.tables import table
-from .streaming.engine import Incremental, multiset_diff
-from .streaming.schedule import queried_batches
+from .streaming.engine import Incremental, identity_gate, multiset_diff, result_counts
+from .streaming.schedule import Firing, queried_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -207,14 +209,14 @@ def compose_left_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.direct(e, CHAIN4, tree)
 
 
-def incremental(spark: SparkSession, sf_dir: str, q: PatternQuery, cover: list[str], batches: int = 4) -> Incremental:
+def incremental(spark: SparkSession, sf_dir: str, q: PatternQuery, cover: list[str], batches: int = 4, firing: Firing = Firing()) -> Incremental:
     """The engine after all batches."""
     from .sources.shared import shared_folder
 
     e, sizes = batched(spark, sf_dir, batches)
     w = workload(events(spark, sf_dir), q, batches)
     chosen = covers.canonical(w, [frozenset(v) for v in cover])
-    engine = Incremental(spark, q, covers.build(w, chosen, "given", 0.0), f"{shared_folder(spark)}/views-{uuid.uuid4().hex}")
+    engine = Incremental(spark, q, covers.build(w, chosen, "given", 0.0), f"{shared_folder(spark)}/views-{uuid.uuid4().hex}", firing)
     for b in range(1, len(sizes) + 1):
         engine.process(e.where(F.col("batch_id") == b).drop("batch_id"), b)
     return engine
@@ -226,6 +228,24 @@ def incremental_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental(spark, sf_dir, FUNNEL, ["AB", "BC"]).answer()
 
 
+@registered("incremental_kleene", oracle.answer_sql(PATTERNS["pat_kleene_mid"]))
+def incremental_kleene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs stitched over four batches: stored where they have ended, with the open one's rows carried on."""
+    return incremental(spark, sf_dir, PATTERNS["pat_kleene_mid"], []).answer()
+
+
+@registered("firing_every_k", oracle.answer_sql(FUNNEL))
+def firing_every_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views that take in every third batch: the answer after the fifth is completed."""
+    return incremental(spark, sf_dir, FUNNEL, ["AB", "BC"], 5, Firing("every_k", 3)).answer()
+
+
+@registered("firing_by_size", oracle.answer_sql(FUNNEL))
+def firing_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view updated where the events it has not taken in are more than a third of all."""
+    return incremental(spark, sf_dir, FUNNEL, ["ABC"], 5, Firing("when_size_exceeds", rows=events(spark, sf_dir).count() // 3)).answer()
+
+
 @registered("watermark_max", "SELECT max(ts)::VARCHAR AS watermark FROM events WHERE event_id < (SELECT round_even(3 * count(*) / 5, 0) FROM events)")
 def watermark_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, _ = batched(spark, sf_dir)
@@ -241,6 +261,41 @@ def batch_query_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(F.broadcast(asked), F.col("batch_id") <= F.col("asked")).groupBy(F.col("asked").alias("batch_id")).agg(F.sum("count").alias("history_rows"))
 
 
+_ASKED = (2, 4, 5)
+_UPTO = ", ".join(f"upto{b} AS (SELECT * FROM events WHERE event_id < (SELECT round_even({b} * count(*) / 5, 0) FROM events))" for b in _ASKED)
+_COUNTED = f"WITH {_UPTO} " + " UNION ALL ".join(f"SELECT {b} AS batch_id, a_id, b_id, c_id, count(*) AS c FROM ({oracle.answer_sql(replace(FUNNEL, table=f'upto{b}'))}) GROUP BY ALL" for b in _ASKED)
+
+
+def counts_by_batch(answers: dict[int, DataFrame]) -> DataFrame:
+    keys = [m.alias for m in FUNNEL.measures]
+    return reduce_(lambda a, b: a.unionByName(b), [result_counts(df, b, keys) for b, df in answers.items()])
+
+
+@registered("batch_result_counts", _COUNTED)
+def batch_result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result keys and their counts as of each scheduled batch, from views kept by deltas."""
+    engine = incremental(spark, sf_dir, FUNNEL, ["AB", "BC"], 5)
+    return counts_by_batch({b: engine.answer(b) for b in queried_batches("every-2nd", 5)})
+
+
+@registered("batch_identity_gate", f"SELECT 0::BIGINT AS differing, count(*) AS keys FROM ({_COUNTED})")
+def batch_identity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result keys whose counts differ between the views' answers and those from the events: none."""
+    e, _ = batched(spark, sf_dir)
+    asked = queried_batches("every-2nd", 5)
+    baseline = counts_by_batch({b: compose.direct(e.where(F.col("batch_id") <= b), FUNNEL) for b in asked})
+    engine = incremental(spark, sf_dir, FUNNEL, ["AB", "BC"], 5)
+    differing = identity_gate(baseline, counts_by_batch({b: engine.answer(b) for b in asked}), [m.alias for m in FUNNEL.measures])
+    return differing.agg(F.count("*").alias("differing")).crossJoin(baseline.agg(F.count("*").alias("keys")))
+
+
+@registered("path_b_rerun", oracle.answer_sql(CHAIN4))
+def path_b_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pattern run again over the rows that composed candidates use."""
+    e, views = events(spark, sf_dir), [frozenset(v) for v in ("AB", "BC", "CD")]
+    return rerun.rerun(e, CHAIN4, compose.candidates(CHAIN4, {v: compose.view(e, CHAIN4, v) for v in views}))
+
+
 # Runs
 
 VIEWS = pattern("runs", "B+", {})
@@ -296,15 +351,34 @@ def stats_path_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.path_pairs(events(spark, sf_dir), q, "B", left, right)
 
 
-@registered("stats_approx")
+@registered("stats_approx", "SELECT count(*) AS rows, min(value)::DOUBLE AS low_value, max(value)::DOUBLE AS high_value, TRUE AS close_user_id, TRUE AS close_value, TRUE AS close_event_type FROM events")
 def stats_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.one_row(events(spark, sf_dir), ["user_id", "value", "event_type"])
+    """Approximate statistics: whether distinct counts are within 15 % (three times the sketch's deviation) of the exact ones."""
+    e, columns = events(spark, sf_dir), ["user_id", "value", "event_type"]
+    exact = e.agg(*[F.count_distinct(c).alias(f"exact_{c}") for c in columns])
+    both = stats.one_row(e, columns).crossJoin(F.broadcast(exact))
+    return both.select("rows", "low_value", "high_value", *[(F.abs(F.col(f"ndv_{c}") - F.col(f"exact_{c}")) <= 0.15 * F.col(f"exact_{c}")).alias(f"close_{c}") for c in columns])
+
+
+@registered("stats_filtered_distinct", "SELECT event_type, TRUE AS close FROM events WHERE value > 20 GROUP BY event_type")
+def stats_filtered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate distinct users of the rows that a filter leaves, for each type: whether within 15 % of the exact ones."""
+    e = events(spark, sf_dir)
+    kinds = {t: f"event_type = '{t}' AND value > 20" for t in sorted(set(TYPES.values()))}
+    approx = stats.filtered_distinct(e, "user_id", kinds)
+    exact = e.where("value > 20").groupBy("event_type").agg(F.count_distinct("user_id").alias("n"))
+    return exact.join(F.broadcast(approx), F.col("event_type") == F.col("name")).select("event_type", (F.abs(F.col("ndv") - F.col("n")) <= 0.15 * F.col("n")).alias("close"))
 
 
-@registered("stats_histogram")
+@registered("stats_histogram", "SELECT unnest(range(16))::INTEGER AS bin, TRUE AS close")
 def stats_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = stats.histogram(events(spark, sf_dir), ["value"])["value"]
-    return spark.createDataFrame([(k, lo, hi, p) for k, (lo, hi, p) in enumerate(h.bins())], "bin int, low double, high double, share double")
+    """Equal-depth bins: whether each holds its share of the rows within a hundredth."""
+    e = events(spark, sf_dir)
+    bins = list(stats.histogram(e, ["value"], 16)["value"].bins())
+    n = F.count(F.lit(1))
+    inside = lambda k, lo, hi: F.count_if((F.col("value") > lo if k else F.col("value") >= lo) & (F.col("value") <= hi)) / n
+    checked = e.agg(*[(F.abs(inside(k, lo, hi) - share) <= 0.01).alias(f"b{k}") for k, (lo, hi, share) in enumerate(bins)])
+    return checked.select(F.posexplode(F.array(*[f"b{k}" for k in range(len(bins))])).alias("bin", "close"))
 
 
 @registered("stats_estimates")
@@ -361,25 +435,35 @@ def orders_pattern_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.direct(table(spark, sf_dir, "orders"), _ORDERS)
 
 
-@registered("gen_events")
+@registered("gen_events", "SELECT p AS profile, t AS primary_type, (CASE WHEN t = 'OTHER' THEN 3000 ELSE 250 END)::BIGINT AS n, (CASE WHEN t = 'OTHER' THEN 3000 ELSE 250 END)::BIGINT AS times, 20::BIGINT AS key_values FROM (SELECT unnest(['grid', 'uniform', 'high_match', 'clustered', 'bursty']) AS p), (SELECT unnest(['T1', 'T2', 'T3', 'T4', 'T5', 'T6', 'T7', 'T8', 'OTHER']) AS t)")
 def gen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated events of each profile: types, times and ids."""
+    """Generated events of each profile: exact rows of each type, times that are all distinct, balanced keys."""
     out = None
     for p in generator.PROFILES:
         e = generator.events(spark, generator.Config(5000, profile=p, key_values=20))
-        row = e.groupBy(F.lit(p).alias("profile"), "primary_type").agg(F.count("*").alias("n"), F.count_distinct("ts").alias("times"), F.min("id").alias("first_id"), F.count_distinct("ekey").alias("key_values"))
+        row = e.groupBy(F.lit(p).alias("profile"), "primary_type").agg(F.count("*").alias("n"), F.count_distinct("ts").alias("times"), F.count_distinct("ekey").alias("key_values"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
-@registered("verify_sigma")
+@registered("verify_sigma", "SELECT * FROM (VALUES ('uniform', 'A', 'B', TRUE, 0.05, TRUE), ('uniform', 'A', 'C', FALSE, 1.0, TRUE), ('uniform', 'B', 'C', TRUE, 0.05, TRUE), ('clustered', 'A', 'B', TRUE, 0.05, TRUE), ('clustered', 'A', 'C', FALSE, 1.0, TRUE), ('clustered', 'B', 'C', TRUE, 0.05, TRUE)) AS t (profile, left_var, right_var, edge, wanted, ok)")
 def verify_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measured against wanted selectivity of a band on generated events."""
-    d = generator.width_for(0.05, generator.EXTENT[0])
-    q = topologies.query(2, "chain", ["{v}.primary_type = 'T1'", "{v}.primary_type = 'T2'"], f"{{b}}.lon BETWEEN {{a}}.lon - {d:.9f} AND {{a}}.lon + {d:.9f}")
-    return verify.pair_selectivities(generator.events(spark, generator.Config(20_000)), q).withColumn("wanted", F.lit(0.05))
+    """Whether measured selectivities on generated events are those calibrated for, within four standard deviations; pairs without an edge match always."""
+    out = None
+    for profile in ("uniform", "clustered"):
+        c = generator.Config(20_000, profile=profile, clusters=3)
+        d = generator.calibrated_width(c, 0.05)
+        q = topologies.query(3, "chain", [f"{{v}}.primary_type = 'T{k}'" for k in (1, 2, 3)], f"{{b}}.lon BETWEEN {{a}}.lon - {d:.9f} AND {{a}}.lon + {d:.9f}")
+        row = verify.check_pairs(generator.events(spark, c), q, 0.05).select(F.lit(profile).alias("profile"), "left_var", "right_var", "edge", "wanted", "ok")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
-@registered("table_fingerprint")
+@registered("table_fingerprint", "SELECT 'events' AS name, count(*) AS rows, TRUE AS same, TRUE AS changed FROM events")
 def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("events", fingerprint(events(spark, sf_dir)))], "name string, fingerprint string")
+    """A fingerprint stays with the order of rows and changes with a value."""
+    e = events(spark, sf_dir)
+    mark = fingerprint(e)
+    same = mark == fingerprint(e.repartition(7, "value"))
+    changed = mark != fingerprint(e.withColumn("value", F.when(F.col("event_id") == 3, F.col("value") + 1).otherwise(F.col("value"))))
+    return e.agg(F.count("*").alias("rows")).select(F.lit("events").alias("name"), "rows", F.lit(same).alias("same"), F.lit(changed).alias("changed"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,6 +105,52 @@ def width_for(sigma: float, length: float) -> float:
     return length * (1 - math.sqrt(1 - sigma))
 
 
+def boxes(c: Config, axis: int) -> list[tuple[float, float, float]]:
+    """(share, low, high) of the uniform parts that the coordinate is drawn from."""
+    lo, length = ORIGIN[axis], EXTENT[axis]
+    share = {"high_match": 0.9, "clustered": c.cluster_share or 0.6}.get(c.profile, c.cluster_share) if c.profile != "grid" else 0.0
+    count = max(1, c.clusters if c.profile != "high_match" else 1)
+    return [(1 - share, lo, lo + length), *((share / count, lo + (at := centre_of(c, axis, k)), lo + at + c.cluster_width) for k in range(count) if share)]
+
+
+def centre_of(c: Config, axis: int, k: int) -> float:
+    """Where a cluster begins, as :func:`coordinate` places it: Spark's chained xxhash64 of the seed, the axis and the cluster."""
+    import xxhash
+
+    h = 42
+    for value, kind in ((c.seed, "<i" if -(1 << 31) <= c.seed < 1 << 31 else "<q"), (20 + axis, "<i"), (k, "<q")):
+        h = xxhash.xxh64_intdigest(struct.pack(kind, value), seed=h)
+    signed = h - (1 << 64) if h >> 63 else h
+    return signed % 1000 / 1000.0 * (EXTENT[axis] - c.cluster_width)
+
+
+def within(a: tuple[float, float], b: tuple[float, float], d: float) -> float:
+    """The chance that uniform draws from two intervals differ by at most d: the share of the rectangle that lies in the strip."""
+    def below(t: float) -> float:  # chance of x - y <= t, by the areas of cut-off corners
+        corner = lambda z: max(0.0, z) ** 2 / 2
+        (p, q), (r, s) = a, b
+        area = corner(t + s - p) - corner(t + s - q) - corner(t + r - p) + corner(t + r - q)
+        return area / ((q - p) * (s - r))
+
+    return below(d) - below(-d)
+
+
+def pair_share(parts: list[tuple[float, float, float]], d: float) -> float:
+    """The chance that two draws of a mixture of uniform parts differ by at most d."""
+    return sum(u * v * within((a, b), (p, q), d) for u, a, b in parts for v, p, q in parts)
+
+
+def calibrated_width(c: Config, sigma: float, axis: int = 0) -> float:
+    """The half-width of a band on one coordinate whose selectivity is sigma under the profile's mixture, by bisection of the closed form."""
+    if not 0 < sigma <= 1:
+        raise ValueError("sigma is between 0 and 1")
+    parts, lo, hi = boxes(c, axis), 0.0, EXTENT[axis]
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if pair_share(parts, mid) < sigma else (lo, mid)
+    return hi
+
+
 def expected_pairs(c: Config, a: str, b: str, sigma: float) -> float:
     n = exact_counts(c)
     return n[a] * n[b] * sigma
