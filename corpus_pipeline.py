@@ -3,6 +3,12 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame that is written as Parquet and read again as the next one's
 docs.  All but the last return the columns of ``documents``.
+
+Defined results: stages take any table with the columns of ``documents`` and pass
+over others; null and empty texts have no word, so the rules reject them, and a
+stage that gets them anyway keeps them as they are; rows that repeat an id are
+rows of their own up to near-dedup, which keeps one of each class; an empty table
+gives an empty one of the same columns.
 """
 
 from __future__ import annotations
@@ -24,8 +30,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, also short ones; documents stay, with their new length."""
-    return line_dedup.dedup(docs.select(*COLUMNS), short=True).selectExpr("doc_id", "text", "lang", "source", "cast(char_length(text) as bigint) as n_chars")
+    """Repeated lines go; documents stay, with their new length."""
+    return line_dedup.dedup(docs.select(*COLUMNS)).selectExpr("doc_id", "text", "lang", "source", "cast(char_length(text) as bigint) as n_chars")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what a stage returns is written to the shared folder and read again."""
-    docs = documents(spark, sf_dir)
+    """All stages on ``documents``; what a stage returns is written to the shared folder, read again, and deleted once the next stage is written."""
+    docs, before = documents(spark, sf_dir), None
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        at = f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        docs, before = spark.read.parquet(at), at
+    return STAGES[-1][1](spark, docs, sf_dir)
