@@ -6,10 +6,11 @@ cluster needs the third-party libraries but not this package on its workers.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import zlib
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +77,12 @@ def many_small_steps(spark: SparkSession):
     return setting(spark, "spark.sql.codegen.wholeStage", "false")
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers are kept for later steps, beside other tasks."""
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def few_rows(spark: SparkSession):
     """Few rows at once in Python: for rows that each hold megabytes."""
     return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "4")

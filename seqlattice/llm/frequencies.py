@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, few_rows, ship
+from .common import cut, few_rows, release, ship
 from .shingles import shingle_hashes
 
 ship(__name__)
@@ -132,6 +132,7 @@ def frequencies(held: DataFrame, parts: int) -> DataFrame:
                 at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(f) else np.zeros(0, int)
                 sent = [pack(np.diff(f[i:j], prepend=np.uint64(0)).astype("<u8"), n[i:j]) for i, j in zip(at, [*at[1:], len(f)], strict=True)]
                 yield pd.DataFrame({"part": own[at].astype(np.int64), "block": block, "data": sent})
+        release()
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         got = [unpack(d, "<u8", "<u4") for d in pdf["data"]]

@@ -46,7 +46,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, bounded_broadcast, cut, few_rows, many_small_steps, quoted, ship, small_batches
+from .common import beside, bounded_broadcast, cut, few_rows, many_small_steps, quoted, release, ship, small_batches
 from .frequencies import counted, framed, pack, unpack
 from .graph import components
 from .shingles import mixed, powers
@@ -247,6 +247,7 @@ class Finder:
                             held, size = [], 0
                     if held:
                         yield signed(held, block)
+            release()
 
         rows = self.frame.mapInPandas(op, "node string, block long, bands array<long>, sketch binary")
         return rows.groupBy("node").agg(F.first(F.struct("block", "bands", "sketch")).alias("x")).select("node", "x.*")
@@ -261,6 +262,7 @@ class Finder:
                     own = set(wanted)
                     some = [(node, Packed.of(f, times, df)) for node, f, times, df in counted(data, back) if node in own]
                     yield pd.DataFrame(some, columns=["node", "packed"])
+            release()
 
         with few_rows(nodes.sparkSession):
             return cut(self.frame.join(bounded_broadcast(wanted, 5_000), "block").mapInPandas(op, "node string, packed binary"))
@@ -324,7 +326,7 @@ class Finder:
         pairs = met.select("key", F.col("cell").alias("x")).join(met.select("key", F.col("cell").alias("y")), "key").where("x <= y").select("x", "y").distinct()
         sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
         pairs = cut(pairs.join(sizes.select(F.col("cell").alias("x"), "n"), "x").where("x < y or n > 1").select("x", "y"))
-        groups = max(1, pairs.count() // 16)
+        groups = max(1, pairs.count() // 4)
         ends = pairs.select("x", "y", F.col("x").alias("cell")).union(pairs.where("x < y").select("x", "y", "y"))
         sent = ends.join(cells, "cell").join(vectors, "node").select(F.pmod(F.xxhash64("x", "y"), F.lit(groups)).alias("k"), "x", "y", F.col("cell") == F.col("x"), "node", "label", "packed").toDF("k", "x", "y", "first", "node", "label", "packed")
 

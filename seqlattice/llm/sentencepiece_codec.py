@@ -21,17 +21,18 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import map_texts, ship, slices, small_batches
+from .common import map_texts, release, ship, slices, small_batches
 
 ship(__name__)
 
 MARK = "▁"
 TABLE_ROWS = 300_000
 LONG_CHUNK = 384
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def crosses(piece: str) -> bool:
@@ -58,7 +59,7 @@ class Codec:
         )
         self.end = self.sp.eos_id()
         self.chunk = re.compile(f"{MARK}+[^{MARK}]*")
-        self.rows, self.ids, self.back, self.size = table_rows, {}, {}, {}
+        self.rows, self.ids, self.back = table_rows, {}, {}
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of the normalised text, each without its first marker."""
@@ -67,21 +68,23 @@ class Codec:
             return text.split(MARK)[1:]
         return [c[1:] for c in self.chunk.findall(text)]
 
-    def segmented(self, new: list[str]) -> Iterator[tuple[str, str, int, str]]:
-        """(chunk, its ids in decimal, how many they are, what they decode to)"""
+    def segmented(self, new: list[str]) -> Iterator[tuple[str, str, str]]:
+        """(chunk, its ids in decimal, what they decode to)"""
         ids = self.sp.encode([c.replace(MARK, " ") for c in new], num_threads=1)
         ids = [own or [self.sp.piece_to_id(MARK)] for own in ids]  # a lone marker ends the text
         for c, own, back in zip(new, ids, self.sp.decode(ids), strict=True) if new else ():
-            yield c, " ".join(map(str, own)), len(own), c if back == c else back
+            yield c, " ".join(map(str, own)), back
 
     def learn(self, wanted: set[str]) -> None:
         """Segment each chunk that the table lacks, once."""
-        new = [c for c in wanted if c not in self.size]
-        if len(self.size) + len(new) > self.rows:
-            self.ids, self.back, self.size = {}, {}, {}
+        new = [c for c in wanted if c not in self.ids]
+        if len(self.ids) + len(new) > self.rows:
+            self.ids, self.back = {}, {}
             new = list(wanted)
-        for c, own, size, back in self.segmented(new):
-            self.ids[c], self.size[c], self.back[c] = own, size, back
+        for c, own, back in self.segmented(new):
+            self.ids[c] = own
+            if back != c:  # of few
+                self.back[c] = back
 
     def direct(self, text: str) -> tuple[int, str, str]:
         ids = [*self.sp.encode(text), self.end]
@@ -96,14 +99,15 @@ class Codec:
         wanted = set().union(*parts)
         long = {c for c in wanted if len(c) > LONG_CHUNK}
         self.learn(wanted - long)
-        ids, back, size = self.ids.__getitem__, self.back.__getitem__, self.size.__getitem__
-        once = {c: rest for c, *rest in self.segmented(sorted(long))}
+        ids, back, end = self.ids.__getitem__, self.back, str(self.end)
+        once = {c: (own, other) for c, own, other in self.segmented(sorted(long))}
         for p in parts:
             if long and not long.isdisjoint(p):
-                got = [once[c] if c in once else (ids(c), size(c), back(c)) for c in p]
-                yield sum(n for _, n, _ in got) + 1, " ".join([*(x for x, _, _ in got), str(self.end)]), " ".join(x for _, _, x in got)
+                row = " ".join([*(once[c][0] if c in once else ids(c) for c in p), end])
+                text = " ".join(once[c][1] if c in once else back.get(c, c) for c in p)
             else:
-                yield sum(map(size, p)) + 1, " ".join([*map(ids, p), str(self.end)]), " ".join(map(back, p))
+                row, text = " ".join([*map(ids, p), end]), " ".join(p) if back.keys().isdisjoint(p) else " ".join([back.get(c, c) for c in p])
+            yield row.count(" ") + 1, row, text
 
 
 def encode(docs: DataFrame, model_file: str, columns: tuple[str, ...] = ("doc_id",), full: bool = False) -> DataFrame:
@@ -126,8 +130,9 @@ def encode(docs: DataFrame, model_file: str, columns: tuple[str, ...] = ("doc_id
                 out["ids_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for _, x, _ in got]
                 out["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for _, _, x in got]
                 if full:
-                    out["ids"] = [[int(i) for i in x.split()] for _, x, _ in got]
+                    out["ids"] = [np.array(x.split(), np.int32) for _, x, _ in got]
                     out["decoded"] = [x for _, _, x in got]
                 yield out
+        release()
 
     return map_texts(docs, columns, results, op)
