@@ -69,11 +69,11 @@ def planned(a: argparse.Namespace, q: PatternQuery, events):
     t = gather(events, [*columns_used(q), q.ts_column], enriched=True)
     file = Path(a.selectivities) if a.selectivities else None
     if file and file.exists():
-        s = Selectivities.from_dict(json.loads(file.read_text()), t.rows)
+        s = Selectivities.from_dict(json.loads(file.read_text()), t.rows, query=q.fingerprint)
     else:
         s = estimate(q, t)
         if file:
-            file.write_text(json.dumps(s.to_dict(t.rows), indent=1))
+            file.write_text(json.dumps(s.to_dict(t.rows, query=q.fingerprint), indent=1))
     ts = t.column(q.ts_column)
     rate = t.rows / max((ts.high - ts.low) / 1e6, 1e-9) if t.rows > 1 else 1.0
     w = Workload(Graph(q), split_batches(max(t.rows, a.batches), a.batches), s, rate, queried_batches(a.query_batches, a.batches))

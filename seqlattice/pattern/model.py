@@ -128,13 +128,13 @@ class PatternQuery:
     # JSON
 
     def to_dict(self) -> dict:
-        dep, ind = self.dependent, [p for p in self.predicates if len(p.variables) == 1]
+        dep, own = self.dependent, {v: " AND ".join(p.text for p in self.independent(v)) or "TRUE" for v in self.names}
         return {
             "name": self.name,
             "table": self.table,
             "variables": [{"name": v.name, "quantifier": v.quantifier, "independent_predicate_id": f"ind_{v.name}", "output_prefix": v.name.lower()} for v in self.variables],
             "pattern": {"variables": list(self.names), "wildcard": "Z", "gap_quantifiers": list(self.gaps)},
-            "independent_predicates": [{"predicate_id": f"ind_{p.variables[0]}", "kind": "independent", "operator": p.operator, "variables": list(p.variables), "sql_template": p.text} for p in ind],
+            "independent_predicates": [{"predicate_id": f"ind_{v}", "kind": "independent", "variables": [v], "sql_template": text} for v, text in own.items()],
             "dependent_predicates": [{"predicate_id": f"dep_{k}", "kind": "dependent", "operator": p.operator, "variables": list(p.variables), "sql_template": p.text} for k, p in enumerate(dep)],
             "measures": [{"expression": m.expression, "alias": m.alias, "sql_type": m.sql_type} for m in self.measures],
             "result_key_columns": [m.alias for m in self.measures if m.attribute == self.id_column],
