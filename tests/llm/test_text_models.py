@@ -225,6 +225,34 @@ def test_windows_agree_with_a_pass_over_the_whole_text():
     assert [(t, lo, hi) for t, _, lo, hi, _ in found.T.tolist()] == [(0, 0, 256), (0, 256, 512), (0, 512, 700), (2, 700, 956), (3, 956, 957)]
 
 
+def test_scores_are_those_of_the_two_dictionaries(spark):
+    """Each score by hand: three sizes by zstandard itself, the features, the curve."""
+    import math
+
+    import zstandard
+
+    good, bad = [tongue(k, "xx") * 3 for k in range(40)], [tongue(k, "yy") * 3 for k in range(40)]
+    model = quality_classifier.fit(good, bad, 0.5)
+    texts = [tongue(k, "xx") for k in range(90, 96)] + [tongue(k, "yy") for k in range(90, 96)] + ["", None, "x", "é" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_classifier.classify(docs, model).collect()}
+    mean, scale, w = model.curve
+    for k, t in enumerate(texts):
+        data = (t or "").encode()
+        want = model.share
+        if data:
+            sizes = []
+            for d in (model.good, model.bad, None):
+                options = {"dict_data": zstandard.ZstdCompressionDict(d)} if d else {}
+                pack = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, **options)
+                sizes.append(sum(len(pack.compress(data[i : i + 512])) for i in range(0, len(data), 512)))
+            x, y = 2 * (sizes[1] - sizes[0]) / (sizes[0] + sizes[1]), sizes[2] / len(data)
+            z = sum(a * (b - m) / s for a, b, m, s in zip(w, (x, y, x * y, y * y), mean, scale, strict=False)) + w[-1]
+            want = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        assert got[k].score == pytest.approx(want, abs=1e-9) and got[k].predicted == int(got[k].score >= 0.3)
+    assert min(got[k].score for k in range(6)) > max(got[k].score for k in range(6, 12))
+
+
 def test_fold():
     import zlib
 
