@@ -78,6 +78,22 @@ class Incremental:
             if self.fires(frozenset([variable]), batch_id):
                 self.stitch(variable, batch_id)
 
+    def initialise(self, events: DataFrame, mode: str = "backfill") -> int:
+        """Begin with a history: ``backfill`` takes it in as batch 1, views and runs too, whatever fires; ``events`` stores it alone, for views to take in later.
+
+        Returns the number of the next batch.
+        """
+        if mode not in ("backfill", "events"):
+            raise ValueError("a history is taken in by backfill or as events")
+        if self.batches():
+            raise ValueError("there are batches already")
+        given, self.firing = self.firing, Firing("always" if mode == "backfill" else "never")
+        try:
+            self.process(events, 1)
+        finally:
+            self.firing = given
+        return 2
+
     def done(self, view: View, upto: int) -> int:
         """The last batch before ``upto`` that the stored view has taken in; 0 if none."""
         return max((b for b in self.batches(self.graph.label(view)) if b < upto), default=0)

@@ -103,6 +103,17 @@ def test_runs_are_stitched_over_batches(spark, tmp_path, pattern):
             assert rows(engine.answer(b)) == rows(matcher.match(e.where(F.col("id") < hi), q)), (q.to_sql(), b)
 
 
+@pytest.mark.parametrize("mode", ["backfill", "events"])
+def test_a_history_comes_first(spark, tmp_path, mode):
+    e = stream(spark, random.Random(7), 45)
+    engine = Incremental(spark, CHAIN, planned(CHAIN, 45, [frozenset("AB"), frozenset("BC")]), str(tmp_path), Firing("every_k", 3))
+    assert engine.initialise(e.where("id < 30"), mode) == 2 and bool(engine.batches("A_B")) == (mode == "backfill")
+    engine.process(e.where("id >= 30"), 2)
+    assert rows(engine.answer()) == rows(compose.direct(e, CHAIN)) and rows(engine.answer(1)) == rows(compose.direct(e.where("id < 30"), CHAIN))
+    with pytest.raises(ValueError):
+        engine.initialise(e, mode)
+
+
 def test_late_rows(spark, tmp_path):
     e = stream(spark, random.Random(9), 40)
     plan = planned(CHAIN, 40, [frozenset("ABC"), frozenset("CD")])
