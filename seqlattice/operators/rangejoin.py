@@ -1,9 +1,9 @@
 """Joins whose condition bounds the difference of two columns: a bin on each side turns them into equi-joins.
 
 For ``lo <= R.x - L.y <= hi`` with constants, both columns are cut into bins of
-width ``hi - lo``.  A row of one side has one bin, one of the other side the two
-or three that its partners can lie in, so a pair meets once; the condition
-itself stays and decides.  Beside an equality the bin also splits hot keys: rows
+half the width ``hi - lo``, so that wide windows leave keys enough.  A row of one
+side has one bin, one of the other side the three or four that its partners can
+lie in, so a pair meets once; the condition itself stays and decides.  Beside an equality the bin also splits hot keys: rows
 of one key meet only within the window.
 """
 
@@ -65,7 +65,7 @@ def join(left: DataFrame, right: DataFrame, condition: Column, bounds: list[Axis
         return left.join(right, condition, how)
     _, a, (lk, rk) = min(usable, key=lambda u: u[0])
     y, x = number(F.col(".".join(a.earlier)), lk), number(F.col(".".join(a.later)), rk)
-    width = a.hi - a.lo
+    width = (a.hi - a.lo) / 2
     slack = max(abs(a.hi), abs(a.lo)) * 1e-9
     cell = lambda c: F.floor(c / F.lit(float(width))).cast("long")
     near = F.explode(F.sequence(cell(x - F.lit(a.hi + slack)), cell(x - F.lit(a.lo - slack))))
