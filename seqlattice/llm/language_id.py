@@ -11,7 +11,8 @@ labelled; the states forget so fast that the labels are those of one pass over
 the whole text but for a small difference (a test bounds it).
 
 The network is trained here, in numpy, by backpropagation through time over
-stretches of ``STRETCH`` bytes, from at most ``DOCS_PER_LANG`` documents of each
+stretches of ``STRETCH`` bytes (what chooses documents never holds more than 64 times
+their number of a language in one task), from at most ``DOCS_PER_LANG`` documents of each
 language (chosen by a hash of the id) and at most ``BYTES_PER_LANG`` of their
 bytes.
 

@@ -18,7 +18,9 @@ draws, and orders its documents by a hash: the local shuffle.  Everything is a
 function of ids and the seed, so reruns agree.
 
 Only DataFrame functions run.  Documents are never shuffled by source: they
-meet a table of blocks, whose size is bounded and checked.
+meet a table of blocks, whose size is bounded and checked.  Windows by source hold
+a source's blocks (``CELLS`` at most) or the documents of its ``CUT_BLOCKS`` cut
+blocks, so a hot source is no large task.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; an empty table gives an empty mix; rows that repeat an id are
