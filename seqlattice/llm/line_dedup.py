@@ -56,9 +56,9 @@ def earlier(a: str, b: str) -> Column:
     return order(a) < order(b)
 
 
-def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, pos, line, n, h, g, at) of each line that counts; h and g are two hashes."""
-    split = docs.select(F.col("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("n", F.char_length("line")).where((F.col("n") >= least) & F.col("line").rlike(NOT_SPACE))
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, line, n, h, g, at) of each line that isn't blank; h and g are two hashes."""
+    split = docs.select(F.col("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("n", F.char_length("line")).where(F.col("line").rlike(NOT_SPACE))
     return split.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), F.col("line"))}).withColumn("at", place(F.col("doc_id"), F.col("pos"), F.col("h")))
 
 
@@ -86,13 +86,13 @@ def suspects(lines: DataFrame, id_: str, parts: int, keep: list[str]) -> DataFra
 
 
 def removed_lines(docs: DataFrame, least: int = LEAST, parts: int = PARTS) -> DataFrame:
-    """(doc_id, pos, h) of each line of ``least`` characters that goes, once."""
-    lines = lines_of(docs, least)
+    """(doc_id, pos, h) of each line that goes, once."""
+    lines = lines_of(docs)
     # Halves first, on hashes alone; the few lines that share one are then looked at closely.
-    half = near_parts(F.col("line"), F.col("n"), 2)
-    hashed = lines.select("h", "g", "at", *[half[k]["key"].alias(f"k{k}") for k in range(4)])
+    half = F.when(F.col("n") >= least, near_parts(F.col("line"), F.col("n"), 2))
+    hashed = lines.select("h", "g", "at", half.alias("half")).select("h", "g", "at", *[F.col("half")[k]["key"].alias(f"k{k}") for k in range(4)])
     distinct = cut(hashed.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("times"), *[F.first(f"k{k}").alias(f"k{k}") for k in range(4)]))
-    keyed = distinct.select("h", "g", "first", F.explode(F.array_distinct(F.array(*[f"k{k}" for k in range(4)]))).alias("key"))
+    keyed = distinct.where("k0 is not null").select("h", "g", "first", F.explode(F.array_distinct(F.array(*[f"k{k}" for k in range(4)]))).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("first").alias("__lo"), F.max("first").alias("__hi")).where("__lo < __hi").select("key")
     close = cut(keyed.join(shared, "key").select("h", "g", "first").distinct())
     few = bounded_broadcast(close.select(F.col("h"), F.col("g"), F.col("first").alias("at")), BROADCAST_ROWS)
@@ -121,13 +121,6 @@ def removed_lines(docs: DataFrame, least: int = LEAST, parts: int = PARTS) -> Da
     return lines.select("doc_id", "pos", "h", "g", "at").join(bounded_broadcast(marks, BROADCAST_ROWS), ["h", "g"]).where("near or at > first").select("doc_id", "pos", "h").distinct()
 
 
-def removed_short_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, pos, h) of each line under ``least`` characters that an earlier line equals, once."""
-    lines = lines_of(docs, 1).where(F.col("n") < least).select("doc_id", "pos", "h", "g", "at")
-    marks = cut(lines.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"))
-    return lines.join(bounded_broadcast(marks, BROADCAST_ROWS), ["h", "g"]).where(earlier("first", "at")).select("doc_id", "pos", "h").distinct()
-
-
 def mark(pos: Column, h: Column) -> Column:
     """A line of a document by its position and 32 bits of its hash."""
     return F.shiftleft(pos.cast("long"), 32).bitwiseOR(h.bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -135,7 +128,7 @@ def mark(pos: Column, h: Column) -> Column:
 
 def dedup(docs: DataFrame, least: int = LEAST, parts: int = PARTS) -> DataFrame:
     """The rows of ``docs`` with what is left of their texts, and n_lines and n_removed."""
-    removed = removed_lines(docs, least, parts).unionByName(removed_short_lines(docs, least))
+    removed = removed_lines(docs, least, parts)
     gone = removed.groupBy("doc_id").agg(F.collect_list(mark(F.col("pos"), F.col("h"))).alias("__gone")).select(F.col("doc_id").alias("__id"), "__gone")
     gone = cut(gone)
     size = gone.agg(F.coalesce(F.sum(F.size("__gone")), F.lit(0)).alias("n")).first()["n"]
