@@ -250,12 +250,17 @@ def result_counts(answer: DataFrame, batch: int, keys: list[str]) -> DataFrame:
     return answer.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).select(F.lit(batch).alias("batch_id"), *keys, "c")
 
 
-def identity_gate(baseline: DataFrame, result: DataFrame, keys: list[str]) -> DataFrame:
-    """Result keys whose counts differ between two tables of counts, with both (0 where one lacks the key)."""
+def compared(baseline: DataFrame, result: DataFrame, keys: list[str]) -> DataFrame:
+    """All result keys of two tables of counts, with both counts (0 where one lacks the key)."""
     by = ["batch_id", *keys]
     a, b = baseline.select(*by, F.col("c").alias("expected")), result.select(*by, F.col("c").alias("found"))
     both = a.withColumn("found", F.lit(0).cast("long")).unionByName(b.withColumn("expected", F.lit(0).cast("long")))
-    return both.groupBy(*by).agg(F.sum("expected").alias("expected"), F.sum("found").alias("found")).where("expected <> found")
+    return both.groupBy(*by).agg(F.sum("expected").alias("expected"), F.sum("found").alias("found"))
+
+
+def identity_gate(baseline: DataFrame, result: DataFrame, keys: list[str]) -> DataFrame:
+    """Result keys whose counts differ between two tables of counts, with both (0 where one lacks the key)."""
+    return compared(baseline, result, keys).where("expected <> found")
 
 
 def multiset_diff(a: DataFrame, b: DataFrame) -> DataFrame:
