@@ -36,7 +36,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, beside, bounded_broadcast, cut, quoted
+from .common import NOT_SPACE, beside, bounded_broadcast, cut, many_small_steps, quoted
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -140,34 +140,38 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sh
     sized = cut(docs.select("source", F.pmod(key, F.lit(CELLS)).alias("cell"), F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("h"), words().alias("size")))
     cells = cut(sized.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")))  # CELLS rows a source at most
     # From here on tables have a row for each source or block: one task holds them, and nothing is exchanged.
-    sources = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("size")).coalesce(1), weights, cap)
-    count = F.greatest(F.lit(1), F.ceil(F.col("size") * F.lit(blocks) / F.greatest(F.sum("size").over(Window.partitionBy()), F.lit(1))))
-    sources = sources.withColumn("n", F.least(count, F.lit(CELLS)).cast("long"))
-    sources = cut(sources.withColumn("rounds", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("long")).withColumn("rest", F.col("target") - F.col("rounds") * F.col("size")))
+    # Each is cut where several others read it: the driver would plan it anew for each of them.
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
-    of = cells.alias("a").join(bounded_broadcast(sources).alias("b"), same).select("b.*", "a.cell", "a.cell_size", F.expr(f"a.cell * b.n div {CELLS}").alias("block"))
-    parts = of.groupBy("source", "i", "size", "target", "n", "rounds", "rest", "block").agg(F.sum("cell_size").alias("words")).coalesce(1)
-    order = Window.partitionBy("i").orderBy(F.xxhash64(F.lit(seed + 2), "i", "block"), "block")
-    parts = fill(parts.withColumn("rank", F.row_number().over(order) - 1).withColumnRenamed("rest", "room"), ["i"], "rank", "words").drop("passes")
-    left = Window.partitionBy("i", "taken").orderBy("rank")
-    parts = parts.withColumn("cut", ~F.col("taken") & (F.col("room") > 0) & (F.row_number().over(left) <= CUT_BLOCKS))
-    parts = cut(parts.withColumn("draws", F.col("rounds") + F.when(F.col("taken") | F.col("cut"), 1).otherwise(0)))
-    # Exact quotas of block draws, split among the shards.
-    every = parts.groupBy("i").agg(F.sum("draws").alias("q")).agg(F.sort_array(F.collect_list(F.struct("i", "q"))).alias("l")).select(F.transform("l", lambda x: x["q"]).alias("quotas"))
-    leaves = tree(every, shards, seed).select("shard", F.posexplode("quotas").alias("j", "q"))
-    ends = leaves.groupBy("j").agg(F.sort_array(F.collect_list(F.struct("shard", "q"))).alias("l")).select((F.col("j") + 1).alias("i"), F.transform(F.sequence(F.lit(1), F.size("l")), lambda k: F.aggregate(F.slice("l", F.lit(1), k), F.lit(0).cast("long"), lambda a, x: a + x["q"])).alias("ends"))
-    blocked = parts.join(bounded_broadcast(ends), "i")
-    # Draw r of the block with rank k is number r * n + k; blocks without documents hold no number.
-    live = Window.partitionBy("i")
-    blocked = blocked.withColumn("m", F.count("*").over(live))
-    shard_of = lambda number: F.size(F.filter("ends", lambda e: e <= number))
-    blocked = blocked.withColumn("shards", F.when(F.col("draws") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1), lambda r: shard_of(r * F.col("m") + F.col("rank")))).otherwise(F.array().cast("array<int>")))
+    with many_small_steps(docs.sparkSession):
+        sources = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("size")).coalesce(1), weights, cap)
+        count = F.greatest(F.lit(1), F.ceil(F.col("size") * F.lit(blocks) / F.greatest(F.sum("size").over(Window.partitionBy()), F.lit(1))))
+        sources = sources.withColumn("n", F.least(count, F.lit(CELLS)).cast("long"))
+        sources = cut(sources.withColumn("rounds", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("long")).withColumn("rest", F.col("target") - F.col("rounds") * F.col("size")))
+        of = cells.alias("a").join(bounded_broadcast(sources).alias("b"), same).select("b.*", "a.cell", "a.cell_size", F.expr(f"a.cell * b.n div {CELLS}").alias("block"))
+        parts = of.groupBy("source", "i", "size", "target", "n", "rounds", "rest", "block").agg(F.sum("cell_size").alias("words")).coalesce(1)
+        order = Window.partitionBy("i").orderBy(F.xxhash64(F.lit(seed + 2), "i", "block"), "block")
+        parts = fill(parts.withColumn("rank", F.row_number().over(order) - 1).withColumnRenamed("rest", "room"), ["i"], "rank", "words").drop("passes")
+        left = Window.partitionBy("i", "taken").orderBy("rank")
+        parts = parts.withColumn("cut", ~F.col("taken") & (F.col("room") > 0) & (F.row_number().over(left) <= CUT_BLOCKS))
+        parts = cut(parts.withColumn("draws", F.col("rounds") + F.when(F.col("taken") | F.col("cut"), 1).otherwise(0)))
+        # Exact quotas of block draws, split among the shards.
+        every = parts.groupBy("i").agg(F.sum("draws").alias("q")).agg(F.sort_array(F.collect_list(F.struct("i", "q"))).alias("l")).select(F.transform("l", lambda x: x["q"]).alias("quotas"))
+        leaves = tree(every, shards, seed).select("shard", F.posexplode("quotas").alias("j", "q"))
+        ends = leaves.groupBy("j").agg(F.sort_array(F.collect_list(F.struct("shard", "q"))).alias("l"))
+        ends = cut(ends.select((F.col("j") + 1).alias("i"), F.transform(F.sequence(F.lit(1), F.size("l")), lambda k: F.aggregate(F.slice("l", F.lit(1), k), F.lit(0).cast("long"), lambda a, x: a + x["q"])).alias("ends")))
+        blocked = parts.join(bounded_broadcast(ends), "i")
+        # Draw r of the block with rank k is number r * n + k; blocks without documents hold no number.
+        live = Window.partitionBy("i")
+        blocked = blocked.withColumn("m", F.count("*").over(live))
+        shard_of = lambda number: F.size(F.filter("ends", lambda e: e <= number))
+        blocked = cut(blocked.withColumn("shards", F.when(F.col("draws") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1), lambda r: shard_of(r * F.col("m") + F.col("rank")))).otherwise(F.array().cast("array<int>"))).drop("ends"))
     # Documents of the blocks that the last draw takes in part.
     split_ = blocked.where("cut").select("source", "i", "block", "n", "rank", "room")
-    inside = sized.alias("a").join(bounded_broadcast(split_).alias("b"), same & (F.expr(f"a.cell * b.n div {CELLS}") == F.col("b.block"))).select("b.i", "a.size", "b.room", F.struct("b.rank", "a.h").alias("at"))
-    last = fill(inside, ["i"], "at", "size", round_up=True).groupBy("i").agg(F.first("passes").alias("last"))
-    out = blocked.join(bounded_broadcast(last), "i", "left")
-    return cut(out.select("source", "block", "n", "rank", F.col("size").alias("source_size"), "target", "rounds", "cut", "shards", "last"))
+    inside = cut(sized.alias("a").join(bounded_broadcast(split_).alias("b"), same & (F.expr(f"a.cell * b.n div {CELLS}") == F.col("b.block"))).select("b.i", "a.size", "b.room", F.struct("b.rank", "a.h").alias("at")))
+    with many_small_steps(docs.sparkSession):
+        last = cut(fill(inside, ["i"], "at", "size", round_up=True).groupBy("i").agg(F.first("passes").alias("last")))
+        out = blocked.join(bounded_broadcast(last), "i", "left")
+        return cut(out.select("source", "block", "n", "rank", F.col("size").alias("source_size"), "target", "rounds", "cut", "shards", "last"))
 
 
 def fill(rows: DataFrame, by: list[str], order: str, size: str, round_up: bool = False) -> DataFrame:

@@ -155,6 +155,17 @@ def test_a_document_too_large_does_not_end_the_mix(spark):
     assert all(abs(r.n - r.t) < 0.01 * r.t for r in out)
 
 
+def test_the_tree_is_planned_once(spark, docs):
+    """The driver holds what it plans: what several tables read is materialised, not planned again for each of them."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    mixing.plan(docs, shards=4, blocks=32)
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = store.executionsList(before, 1000)
+    with_tree = [k for k in range(ran.size()) if "Generate" in ran.apply(k).physicalPlanDescription()]
+    assert ran.size() > 5 and len(with_tree) == 1
+
+
 def brute_print(t):
     import re
 
