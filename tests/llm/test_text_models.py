@@ -54,6 +54,53 @@ def test_spliced_counts_are_the_librarys(chunk, overlap):
     assert [c.huge(t) for t in texts] == c.whole(texts)
 
 
+class Recorder:
+    """The library, and how many characters it was given."""
+
+    def __init__(self, bpe):
+        self.bpe, self.chars = bpe, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.chars += sum(map(len, texts))
+        return self.bpe.encode_batch_fast(texts, **how)
+
+
+def test_library_gets_a_word_once():
+    c = token_counts.Counter(BYTES)
+    r = random.Random(7)
+    texts = [" ".join(r.choice(["common", "words,", "of", "a\nfew", "kinds.", "été"]) for _ in range(300)) for _ in range(40)]
+    want = c.whole(texts)
+    c.bpe = Recorder(c.bpe)
+    assert c.count(texts) == want
+    assert c.bpe.chars < sum(map(len, texts)) / 20
+    given = c.bpe.chars
+    assert c.count(texts) == want and c.bpe.chars - given < 10 * len(texts)  # only the first words, which follow no space
+
+
+@pytest.mark.parametrize("table_words", [0, 50, 100_000])
+def test_sums_of_words_are_the_librarys(table_words):
+    c = token_counts.Counter(BYTES, table_words=table_words)
+    blanks = [" ", "  ", "\n", " \n", "\n ", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u180e", "\u200b", "\u2003", "\u2028", "\u3000", "\ufeff", "'", " '", "'s", "'ll "]
+    atoms = [*ATOMS, *blanks, *blanks, "\u0120", "don't", "x" * 70, "3.5", "\u0301", "漢字"]
+    r = random.Random(9)
+    texts = ["", " ", "  ", " a", "a ", *strings(1500, 40, 3), *("".join(r.choice(atoms) for _ in range(r.randrange(60))) for _ in range(6000))]
+    want = [n for i in range(0, len(texts), 500) for n in c.whole(texts[i : i + 500])]
+    got = [n for i in range(0, len(texts), 500) for n in c.count(texts[i : i + 500])]
+    assert [t for t, x, y in zip(texts, got, want, strict=True) if x != y] == []
+    assert len(c.table) <= max(table_words, 20_000) and all(len(w) <= token_counts.WORD_CHARS for w in c.table)
+
+
+def test_every_cut_is_the_start_of_a_pre_token():
+    """For all characters that a space is cut before: the library leaves that space to the character."""
+    c = token_counts.Counter(BYTES)
+    split = c.bpe.pre_tokenizer.pre_tokenize_str
+    signs = [x for x in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if token_counts.CUT.match(" " + x)]
+    assert len(signs) > 1_100_000
+    for i in range(0, len(signs), 1000):
+        starts = {a for _, (a, _) in split("".join("\n " + x for x in signs[i : i + 1000]))}
+        assert starts >= set(range(1, 3 * len(signs[i : i + 1000]), 3))
+
+
 def test_count_documents(docs, empty):
     c = token_counts.Counter(BYTES)
     out = token_counts.count_tokens(docs, BYTES, columns=("doc_id", "text"), chunk=1000, overlap=32).collect()
